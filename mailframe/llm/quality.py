@@ -1,7 +1,8 @@
 """Quality by supervised subword embeddings.
 
-Hashed words and character n-grams (orders 3 and 4) have learned vectors; a document is the average of
-its words' mean and its n-grams' mean; a softmax over the two labels follows. Vectors and
+Hashed words, character n-grams (orders 3 and 4) and repetition marks (is a word the one before it, or
+the one before that) have learned vectors; a document is the average of the means of these three
+kinds; a softmax over the two labels follows. Vectors and
 softmax are fitted together by stochastic gradient descent in numpy, on a bounded sample of labelled
 rows; the output is calibrated on rows kept apart. Texts are read whole, in pieces of bounded length.
 """
@@ -22,6 +23,8 @@ from .minhash import word_hashes
 
 BITS = 15
 SIZE = 1 << BITS  # buckets of words, and as many of n-grams
+KINDS = 3
+ALL = 2 * SIZE + 4  # the marks: at distance 1 new and repeated, at distance 2 the same
 ORDERS = (3, 4)
 DIMENSIONS = 16
 CALIBRATION = 0.2
@@ -29,15 +32,20 @@ _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
 def features(text: str | None) -> Iterator[np.ndarray]:
-    """Buckets of all occurrences: words below SIZE, n-grams from SIZE on. Digits count as 0."""
+    """Buckets of all occurrences: words below SIZE, n-grams from SIZE on, marks from 2 SIZE on. Digits count as 0."""
     text = text or ""
-    start = 0
+    start, last = 0, np.zeros(0, np.uint64)
     while start < len(text):  # words are cut at white space only
         end = min(len(text), start + (1 << 20))
         while end < len(text) and not text[end].isspace():
             end += 1
-        yield (word_hashes(text[start:end].encode("utf-8", "surrogatepass")) >> np.uint64(64 - BITS)).astype(np.int64)
-        start = end
+        new = word_hashes(text[start:end].encode("utf-8", "surrogatepass"))
+        yield (new >> np.uint64(64 - BITS)).astype(np.int64)
+        run = np.concatenate([last, new])
+        for d in (1, 2):
+            at = np.arange(max(len(last), d), len(run))
+            yield (run[at] == run[at - d]).astype(np.int64) + (2 * SIZE + 2 * (d - 1))
+        start, last = end, run[-2:]
     for k, piece in enumerate(pieces(text, max(ORDERS) - 1)):
         cp = points(piece)
         cp = np.where((cp >= 48) & (cp <= 57), np.uint32(48), cp)
@@ -62,13 +70,13 @@ class QualityModel:
     b: float = 0.0
 
     def raw(self, text: str | None) -> float:
-        total, n = [0.0, 0.0], [0, 0]
+        total, n = [0.0] * KINDS, [0] * KINDS
         for x in features(text):
             if len(x):
-                kind = int(x[0] >= SIZE)
+                kind = int(x[0] // SIZE)
                 total[kind] += float(self.gain[x].sum(dtype=np.float64))
                 n[kind] += len(x)
-        return self.bias + sum(t / (2 * max(1, k)) for t, k in zip(total, n, strict=True))
+        return self.bias + sum(t / (KINDS * max(1, k)) for t, k in zip(total, n, strict=True))
 
     def score(self, text: str | None) -> float:
         return float(sigmoid(self.a * self.raw(text) + self.b))
@@ -76,11 +84,11 @@ class QualityModel:
 
 def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Buckets and their shares in the document's average."""
-    counts = np.zeros(2 * SIZE)
+    counts = np.zeros(ALL)
     for x in features(text):
-        counts += np.bincount(x, minlength=2 * SIZE)
-    for half in (counts[:SIZE], counts[SIZE:]):
-        half /= 2 * max(1.0, half.sum())
+        counts += np.bincount(x, minlength=ALL)
+    for kind in (counts[:SIZE], counts[SIZE : 2 * SIZE], counts[2 * SIZE :]):
+        kind /= KINDS * max(1.0, kind.sum())
     at = np.flatnonzero(counts)
     return at, counts[at]
 
@@ -88,7 +96,7 @@ def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 12, rate: float = 2.0, seed: int = 5) -> QualityModel:
     """rows: (buckets, shares, label). The prior of an empty model is even."""
     rng = np.random.default_rng(seed)
-    vectors = rng.normal(0, 1 / DIMENSIONS, (2 * SIZE, DIMENSIONS)).astype(np.float32)
+    vectors = rng.normal(0, 1 / DIMENSIONS, (ALL, DIMENSIONS)).astype(np.float32)
     out, bias = np.zeros((DIMENSIONS, 2), np.float32), np.zeros(2, np.float32)
     order = rng.permutation(len(rows))
     cut = int(len(rows) * CALIBRATION)
