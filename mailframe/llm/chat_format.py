@@ -38,7 +38,7 @@ class ChatTemplate:
         if not all(c) or any("\\" in x for x in c):
             raise ValueError("control strings are not empty and hold no backslash")
         for a in c:  # neither may one begin inside another, nor half of one in a text and half in what follows
-            if any(b.startswith(a[k:]) or a[k:].startswith(b) for b in c for k in range(1, len(a))):
+            if any(b.startswith(a[k:]) or a[k:].startswith(b) for b in c for k in range(len(a)) if k or b != a):
                 raise ValueError(f"control string {a!r} overlaps another")
 
     @property
