@@ -29,7 +29,7 @@ def parse_tidy(t: Column) -> Column:
     at = lambda f: F.try_to_timestamp(t, F.lit(f))
     words = F.when(zoned & seconds, at("d MMM yyyy H:mm:ss xx")).when(zoned, at("d MMM yyyy H:mm xx")).when(seconds, at("d MMM yyyy H:mm:ss")).otherwise(at("d MMM yyyy H:mm"))
     iso = F.when(F.contains(t, F.lit("T")) | F.contains(t, F.lit("t")), at("yyyy-MM-dd'T'HH:mm:ssXXX")).otherwise(at("yyyy-MM-dd HH:mm:ss"))
-    return F.when(F.rlike(t, F.lit(r"^\d{4}-")), iso).when(F.rlike(t, F.lit(r"^\d{1,2} ")), words)
+    return F.when(F.rlike(t, F.lit(r"^[1-9]\d{3}-")), iso).when(F.rlike(t, F.lit(r"^\d{1,2} \w+ [1-9]\d{3} ")), words)
 
 
 def parse(text: Column) -> Column:

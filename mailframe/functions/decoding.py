@@ -23,8 +23,11 @@ try:
 except ImportError:
     fuzzy = None
 
+#: Bytes below which a guess at the charset is no better than Latin-1.
+DETECTABLE = 64
 UTC = datetime.timezone.utc
 DEFAULT_DATE = datetime.datetime(1970, 1, 1, tzinfo=UTC)
+_NO_YEAR = re.compile(r"[A-Za-z]{3}[ -]+0\d{3}\b")  # years of a first millennium are no dates of mails
 WORD = re.compile(r"=\?([^\s?*]+)(?:\*[^\s?]*)?\?([BbQq])\?([^?]*)\?=")
 
 
@@ -39,7 +42,7 @@ def decode_bytes(raw: bytes, charset: str | None = None) -> str:
         return raw.decode("utf-8")
     except UnicodeDecodeError:
         pass
-    if from_bytes is not None:
+    if from_bytes is not None and len(raw) >= DETECTABLE:
         best = from_bytes(raw).best()
         if best is not None:
             return str(best)
@@ -99,7 +102,7 @@ def decode_header(value: str) -> str:
 
 def parse_date(text: str | None) -> datetime.datetime:
     """RFC 5322, else any date that can be found in the text, else the epoch. Missing fields come from the epoch."""
-    if not text or not text.strip():
+    if not text or not text.strip() or _NO_YEAR.search(text):
         return DEFAULT_DATE
     found = None
     try:
@@ -110,7 +113,7 @@ def parse_date(text: str | None) -> datetime.datetime:
                 found = fuzzy.parse(text, fuzzy=True, default=datetime.datetime(1970, 1, 1))
             except (ValueError, OverflowError, TypeError, AttributeError):
                 found = None
-    if found is None:
+    if found is None or found.year < 1000:
         return DEFAULT_DATE
     found = found if found.tzinfo else found.replace(tzinfo=UTC)
     try:

@@ -17,8 +17,9 @@ JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ssXXX", "ignoreNullFields": "true
 def report(messages: DataFrame, options: Options = Options()) -> DataFrame:
     """msg_id, header, body, attachment. Everything but the parse itself is built of the parsed tables.
 
-    The three lists are gathered by msg_id and joined on it.
+    The three lists are gathered by msg_id and joined on it; mails of equal bytes share one report.
     """
+    messages = messages.dropDuplicates(["msg_id"])
     hop_table = R.hops(messages)
     if options.entry_hosts:
         entries = R.entry_points(hop_table, options)

@@ -48,7 +48,10 @@ def parts(messages: DataFrame, *keep: str) -> DataFrame:
 
 
 class MailFiles(DataSource):
-    """format("rfc822"): options path, recursive, pattern suffix, and the fields of Options."""
+    """format("rfc822"): options path, recursive, suffix, filesPerTask, skip_bad_start, email_needs_tld.
+
+    pushdown: filters on path choose the files (needs spark.sql.python.filterPushdown.enabled).
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -58,11 +61,11 @@ class MailFiles(DataSource):
         return MESSAGE
 
     def reader(self, schema):
-        return MailReader(self.options)
+        return (FilteringMailReader if self.options.get("pushdown") == "true" else MailReader)(self.options)
 
 
 class MailReader(DataSourceReader):
-    """Files of a folder that all executors see, some to a partition; filters on path reach the listing."""
+    """Files of a folder that all executors see, some to a partition."""
 
     def __init__(self, options: dict):
         self.path = options.get("path", "")
@@ -73,22 +76,14 @@ class MailReader(DataSourceReader):
         self.config = Options(skip_bad_start=flag("skip_bad_start"), email_needs_tld=flag("email_needs_tld"))
         self.wanted: set[str] | None = None
 
-    def pushFilters(self, filters):
-        for f in filters:
-            if type(f).__name__ == "EqualTo" and tuple(f.attribute) == ("path",):
-                self.wanted = {f.value} if self.wanted is None else self.wanted & {f.value}
-            elif type(f).__name__ == "In" and tuple(f.attribute) == ("path",):
-                self.wanted = set(f.value) if self.wanted is None else self.wanted & set(f.value)
-            else:
-                yield f
-
     def partitions(self):
         found = []
         for folder, _, names in os.walk(self.path):
-            found += [p for n in names if n.endswith(self.suffix) and ((p := os.path.join(folder, n)) in self.wanted if self.wanted is not None else True)]
+            paths = [os.path.join(folder, n) for n in names if n.endswith(self.suffix)]
+            found += [p for p in paths if self.wanted is None or p in self.wanted]
             if not self.recursive:
                 break
-        found = sorted(os.path.join(f) for f in found)
+        found.sort()
         return [InputPartition(found[k : k + self.per_task]) for k in range(0, len(found), self.per_task)] or [InputPartition([])]
 
     def read(self, partition):
@@ -101,6 +96,19 @@ class MailReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
 
+class FilteringMailReader(MailReader):
+    """Filters on path reach the listing."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if type(f).__name__ == "EqualTo" and tuple(f.attribute) == ("path",):
+                self.wanted = {f.value} if self.wanted is None else self.wanted & {f.value}
+            elif type(f).__name__ == "In" and tuple(f.attribute) == ("path",):
+                self.wanted = set(f.value) if self.wanted is None else self.wanted & set(f.value)
+            else:
+                yield f
+
+
 class ParseMail:
     """Table function: parse_rfc822(content) gives a row for each part."""
 

@@ -170,4 +170,13 @@ def parse(raw: bytes, options: config.Options = config.Options(), path: str | No
         }
     except Exception as error:
         row["error"] = f"{type(error).__name__}: {error}"[:500]
-    return row
+    return clean(row)
+
+
+def clean(value):
+    """Strings without lone surrogates, which no table can hold."""
+    if isinstance(value, str):
+        return value if value.isascii() else value.encode("utf-8", "replace").decode("utf-8")
+    if isinstance(value, dict):
+        return {k: clean(v) for k, v in value.items()}
+    return [clean(v) for v in value] if isinstance(value, list) else value
