@@ -24,7 +24,7 @@ SHARE = 1.5
 MOST = 2
 #: Ranges of keys in a histogram; after two rounds a range holds about a 2^-24th of a source.
 RANGES = 4096
-PUNCTUATION = "0123456789#$%&*|!<>{}[]()=+/\\_~^@\"'"
+PUNCTUATION = "0123456789#$%&*|!<>{}[]()=+/_~^@"
 
 
 def words_in(text: Column) -> Column:
@@ -81,7 +81,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     agree: keys are hashes of the id, the text and the seed.
     """
     scratch = Scratch(docs.sparkSession)
-    u = (F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    digest = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "text", F.lit(str(seed))))
+    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 0.5) / F.lit(float(1 << 52))
     key = -F.log(u) / (quality_weight(F.col("text")) if weight is None else weight)
     slim = docs.select("doc_id", "source", words_in(F.col("text")).alias("size"), key.alias("key"))
     source_key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n"))
@@ -115,3 +116,28 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents", "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+_BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+_WORD = r"[^\x20\x09-\x0D]+"
+SQL = f"""
+WITH s AS (SELECT doc_id, source, text, coalesce(text, '') AS t FROM documents),
+d AS (
+  SELECT doc_id, source, length(regexp_replace(t, '{_WORD}', 'x', 'g')) - length(regexp_replace(t, '{_WORD}', '', 'g')) AS size,
+    -ln((('0x' || substr(md5(concat_ws('|', CAST(doc_id AS VARCHAR), text, '42')), 1, 13))::BIGINT + 0.5e0) / 4503599627370496e0)
+      / greatest(0.1e0, 1e0 - 4e0 * (length(t) - length(translate(t, '{PUNCTUATION}', ''))) / greatest(length(t), 1)) AS key
+  FROM s),
+g AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3e0 WHEN 1 THEN 1e0 ELSE 2e0 END AS weight FROM g),
+r AS (SELECT *, 2e0 * source_size AS room, 2e0 * source_size / weight AS ratio FROM w),
+l AS (
+  SELECT *, (1.5e0 * CAST(sum(source_size) OVER () AS BIGINT) - coalesce(sum(room) OVER (ORDER BY ratio, source NULLS LAST {_BEFORE}), 0e0))
+    / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY ratio, source NULLS LAST {_BEFORE}), 0e0)) AS level
+  FROM r),
+t AS (SELECT source, source_size, least(room, coalesce(weight * (SELECT level FROM l WHERE ratio > level ORDER BY ratio, level LIMIT 1), room)) AS target FROM l),
+e AS (SELECT *, CAST(round(target) AS BIGINT) AS words, CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) // source_size ELSE 0 END AS epochs FROM t)
+SELECT doc_id, size, source_size, target,
+  CAST(epochs * size + greatest(0, least(size, words - epochs * source_size
+    - coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id NULLS FIRST, size {_BEFORE}), 0))) AS BIGINT) AS taken
+FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
+"""

@@ -17,5 +17,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_url_filter": url_filter.SQL,
+    "op3_mixing": mixing.SQL,
     "op4_chat_format": chat_format.SQL,
 }
