@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_hash, pieces, short_batches, table
+from .common import id_hash, short_batches, table
 from .learning import labelled_sample, platt, sigmoid
 
 INSULTS = {
