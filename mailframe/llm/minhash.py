@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import PIECE, Scratch, short_batches, table
-from .simhash import CHUNK, LOWER, _unite, components
+from .simhash import CHUNK, LOWER, _unite, components, with_least
 
 SHINGLE = 5
 PLACES = 128
@@ -238,8 +238,8 @@ def minhash_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     roots = components(dealt.mapInArrow(verify, "a binary, b binary"), scratch).withColumnRenamed("node", "own")
     rooted = nodes.select("node", "least").join(roots, F.col("node") == F.col("own"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return signed.select("doc_id", "node").join(rooted.select("node", "root").join(classes, "root"), "node").select("doc_id", "component_id")
+    classes = with_least(rooted.withColumnRenamed("least", "own"), "root", "own", "node")
+    return signed.select("doc_id", "node").join(classes.select("node", F.col("least").alias("component_id")), "node").select("doc_id", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,8 @@ from .common import PIECE, Scratch, short_batches, table
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Fingerprints of a bucket that are compared in one task; a larger bucket is dealt out in pairs of chunks.
 CHUNK = 4096
+#: Groups that the rows of one node of the component search are dealt out to.
+SALTS = 64
 #: Fingerprints in one bit-sliced batch of small buckets.
 LANES = 1 << 15
 
@@ -303,6 +305,18 @@ def _links(nodes: DataFrame, spec: SimHash) -> DataFrame:
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
+def with_least(rows: DataFrame, key: str, value: str, by: str) -> DataFrame:
+    """rows with least: the least value among the rows of the same key.
+
+    A key's rows meet in SALTS groups (by a hash of another column), which then share their least values; so a
+    key that holds a third of all rows is no one task's work.
+    """
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    parts = salted.groupBy(key, "salt").agg(F.min(value).alias("least"))
+    whole = parts.groupBy(key).agg(F.min("least").alias("least"))
+    return salted.join(parts.select(key, "salt").join(whole, key), [key, "salt"]).drop("salt")
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, root of every node of the edges (a, b), root being the least node of the component.
 
@@ -316,11 +330,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     now = state(e)
     while now[0]:
-        both = e.union(e.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
+        both = with_least(e.union(e.select("v", "u")), "u", "v", "v")
+        large = both.filter("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v")).filter("u <> v").distinct()
+        both = with_least(large, "u", "v", "v")
+        small = both.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("least").alias("v")), F.struct("u", F.col("least").alias("v")))).alias("e"))
         new = scratch.save(small.select("e.u", "e.v").filter("u <> v").distinct())
         scratch.drop(e)
         e, before = new, now
@@ -343,8 +356,8 @@ def simhash_groups(docs: DataFrame, spec: SimHash = EXACT) -> DataFrame:
     nodes = scratch.save(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(_links(nodes, spec), scratch)
     rooted = scratch.save(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(rooted.select("fp", "root").join(classes, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    classes = with_least(rooted.withColumnRenamed("least", "own"), "root", "own", "fp")
+    return fps.join(classes.select("fp", F.col("least").alias("component_id")), "fp").select("doc_id", "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, spec: SimHash = CORPUS) -> DataFrame:
