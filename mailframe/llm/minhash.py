@@ -2,9 +2,9 @@
 
 Words (A-Z lower-cased, split at ASCII white space) are hashed in numpy by prefix sums of a polynomial,
 shingles of five words from the words' hashes. A signature holds, for each of 128 universal hash
-functions a x + b mod 2^64, the highest 16 bits of the least value over the shingles.
-Likeness is the share of equal places, an estimate of the Jaccard similarity with a standard error of
-0.044 or less. Bands of signatures are joined in Spark and the pairs they bring together verified by
+functions a x + b mod 2^64, 16 bits of a hash of the least value over the shingles (of the whole value, as
+its highest bits are all 0 in long texts). Likeness is the share of equal places, an estimate of the Jaccard
+similarity with a standard error of 0.044 or less, whatever the length. Bands of signatures are joined in Spark and the pairs they bring together verified by
 exact Jaccard similarity.
 """
 
@@ -86,13 +86,14 @@ def shingle_hashes(text: str | None) -> Iterator[np.ndarray]:
 
 def signature(text: str | None) -> np.ndarray:
     """128 places (uint16); all 65535 for a text without words."""
-    least = np.full(PLACES, ~np.uint64(0))
+    least, seen = np.full(PLACES, ~np.uint64(0)), False
     for x in shingle_hashes(text):
+        seen = True
         for k in range(0, len(x), 1024):
             h = x[k : k + 1024, None] * _A
             h += _B
             np.minimum(least, h.min(axis=0), out=least)
-    return (least >> np.uint64(48)).astype(">u2")
+    return (_mix(least) >> np.uint64(48) if seen else least).astype(">u2")
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:

@@ -47,6 +47,15 @@ def test_likeness_estimates_jaccard(changed):
     assert M.likeness(M.signature(a), M.signature(b)) == pytest.approx(jaccard(a, b), abs=0.14)
 
 
+@pytest.mark.parametrize("n", [20_000, 200_000])
+def test_likeness_of_long_texts(n):
+    a, b = words(4, n, 1 << 40), words(5, n, 1 << 40)
+    half = a[: n // 2] + b[n // 2 :]
+    a, b, half = (M.signature(" ".join(t)) for t in (a, b, half))
+    assert M.likeness(a, b) <= 0.03
+    assert M.likeness(a, half) == pytest.approx(1 / 3, abs=0.14)
+
+
 def test_signature_edges():
     assert (M.signature(None) == 65535).all() and (M.signature(" \n") == 65535).all()
     assert (M.signature("A b") == M.signature("a\tB")).all() and (M.signature("a b") != M.signature("b a")).any()
