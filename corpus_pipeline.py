@@ -25,7 +25,7 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity of about 0.8 or more."""
+    """One document of each group of near-duplicates: five-word shingles, Jaccard similarity of 0.8 or more."""
     return simhash.near_dedup(docs, simhash.CORPUS)
 
 

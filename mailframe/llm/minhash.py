@@ -11,7 +11,7 @@ exact Jaccard similarity.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -86,8 +86,13 @@ def shingle_hashes(text: str | None) -> Iterator[np.ndarray]:
 
 def signature(text: str | None) -> np.ndarray:
     """128 places (uint16); all 65535 for a text without words."""
+    return signature_of(shingle_hashes(text))
+
+
+def signature_of(hashes: Iterable[np.ndarray]) -> np.ndarray:
+    """The signature of shingles in any number of arrays."""
     least, seen = np.full(PLACES, ~np.uint64(0)), False
-    for x in shingle_hashes(text):
+    for x in hashes:
         seen = True
         for k in range(0, len(x), 1024):
             h = x[k : k + 1024, None] * _A

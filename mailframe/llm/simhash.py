@@ -8,6 +8,9 @@
    radius are abandoned.
 4. A bucket hands on a spanning forest of its links, not its pairs; components are found over the
    forests by alternating large and small stars, with each round in shared storage.
+
+For cleaning a corpus, fingerprints of distinct shingles are compared in buckets of MinHash bands; the components are
+candidates only, inside which each link is verified by exact Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -52,18 +55,28 @@ def pigeonhole(bits: int, radius: int, blocks: int) -> tuple[tuple[int, ...], ..
     return tuple(tuple(p for b in chosen for p in range(edges[b], edges[b + 1])) for chosen in combinations(range(blocks), blocks - radius))
 
 
-def sampled(bits: int, width: int, tables: int) -> tuple[tuple[int, ...], ...]:
-    """Tables over fixed random bit positions, for radii that pigeonholes can't cover."""
-    rng = np.random.default_rng(7)
-    return tuple(tuple(sorted(rng.choice(bits, width, replace=False).tolist())) for _ in range(tables))
-
-
 #: The contract's: exact, as of 4 blocks at least 2 are equal within radius 2.
 EXACT = SimHash(words=3, bits=64, radius=2, keys=pigeonhole(64, 2, 4))
-#: For cleaning a corpus: five words; two texts of Jaccard similarity s differ in about
-#: 128 acos(2s / (1 + s)) / pi bits: 13 at 0.9, 19 at 0.8, 25 at 0.7. A pair at 0.8 shares one of 40
-#: buckets of 16 bits with probability 0.95, one at 0.9 with 0.999.
-CORPUS = SimHash(words=5, bits=128, radius=22, keys=sampled(128, 16, 40))
+@dataclass(frozen=True)
+class Near:
+    """For cleaning a corpus: texts whose sets of five-word shingles have at least this Jaccard similarity.
+
+    Texts that share one of the bands (of so many MinHash places) and whose fingerprints of distinct shingles are
+    within the radius are candidates. A pair at similarity s shares a band with probability
+    1 - (1 - s^places)^bands, 0.99995 at 0.8, and differs in about bits acos(2s / (1 + s)) / pi bits: 19.4 at 0.8, five
+    standard deviations below the radius.
+    """
+
+    similarity: float = 0.8
+    bands: int = 25
+    places: int = 5
+    bits: int = 128
+    radius: int = 40
+
+
+CORPUS = Near()
+#: Texts, and shingles, of a group of candidates that are verified in one task; a larger group is dealt out in pairs of chunks.
+GROUP, GROUP_SHINGLES = 1024, 1 << 21
 
 
 def _bit_counts(shingles: list[bytes], seeds: int) -> np.ndarray:
@@ -259,16 +272,15 @@ def _bucket_rows(nodes: DataFrame, spec: SimHash) -> DataFrame:
     return nodes.select("fp").mapInArrow(run, "fp binary, bucket long")
 
 
-def _links(nodes: DataFrame, spec: SimHash) -> DataFrame:
-    """Edges a, b (binary) of spanning forests of all links."""
-    rows = _bucket_rows(nodes, spec)  # cheap enough to be made twice, too wide to be stored
+def _links(rows: DataFrame, radius: int) -> DataFrame:
+    """Edges a, b (binary) of spanning forests of all links among rows (fp, bucket, and node if it isn't fp)."""
+    named = [c for c in rows.columns if c == "node"]
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("fp"), chunks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
-    dealt = rows.join(sizes, "bucket").withColumns({"chunks": chunks, "own": own}).select("bucket", "fp", F.explode(pairs).alias("pair")).select("bucket", "pair.i", "pair.j", "fp")
+    dealt = rows.join(sizes, "bucket").withColumns({"chunks": chunks, "own": own}).select("bucket", "fp", *named, F.explode(pairs).alias("pair")).select("bucket", "pair.i", "pair.j", "fp", *named)
     dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    radius = spec.radius
 
     def compare(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
@@ -278,7 +290,8 @@ def _links(nodes: DataFrame, spec: SimHash) -> DataFrame:
             new[1:] |= k[1:] != k[:-1]
         fp = t.column(3).to_pylist()
         i, r = forest(np.frombuffer(b"".join(fp), np.uint8).reshape(len(fp), -1), np.cumsum(new), radius)
-        return pa.RecordBatch.from_arrays([pa.array([fp[x] for x in i], pa.binary()), pa.array([fp[x] for x in r], pa.binary())], names=["a", "b"])
+        name = t.column(t.num_columns - 1).take(pa.array(np.r_[i, r])).to_pylist()
+        return pa.RecordBatch.from_arrays([pa.array(name[: len(i)], pa.binary()), pa.array(name[len(i) :], pa.binary())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -354,23 +367,143 @@ def simhash_groups(docs: DataFrame, spec: SimHash = EXACT) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     fps = scratch.save(fingerprints(docs, spec))
     nodes = scratch.save(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(_links(nodes, spec), scratch)
+    roots = components(_links(_bucket_rows(nodes, spec), spec.radius), scratch)
     rooted = scratch.save(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     classes = with_least(rooted.withColumnRenamed("least", "own"), "root", "own", "fp")
     return fps.join(classes.select("fp", F.col("least").alias("component_id")), "fp").select("doc_id", "fp", "component_id")
 
 
-def near_dedup(docs: DataFrame, spec: SimHash = CORPUS) -> DataFrame:
+# ---- cleaning a corpus -----------------------------------------------------------------------
+
+
+def shingle_fingerprint(x: np.ndarray, bits: int) -> bytes:
+    """Fingerprint of distinct 64-bit shingle hashes: the first 64 bits are the hashes' own, the others of them mixed anew."""
+    from .minhash import _mix
+
+    counts = []
+    for seed in range(bits // 64):
+        own = np.zeros(64, np.int64)
+        for k in range(0, len(x), PIECE // 64):
+            h = x[k : k + PIECE // 64]
+            h = _mix(h + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if seed else h
+            own += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        counts.append(own)
+    return np.packbits(2 * np.concatenate(counts) > len(x)).tobytes()
+
+
+def distinct_shingles(text: str | None) -> np.ndarray:
+    from .minhash import shingle_hashes
+
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text)]))
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets (sorted, distinct) have at least this Jaccard similarity."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = np.concatenate([a, b])
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared >= similarity * (len(both) - shared)
+
+
+def _exact_links(fps: np.ndarray, own: np.ndarray, sets: list[np.ndarray], spec: Near) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the exact links among texts; texts of two chunks are only compared across."""
+    n, root, across = len(sets), np.arange(len(sets)), (own != own[0]).any()
+    words = fps.view(np.uint64)
+    for d in range(1, n):
+        near = np.bitwise_count(words[:-d] ^ words[d:]).sum(axis=1) <= spec.radius
+        near &= root[:-d] != root[d:]
+        if across:
+            near &= own[:-d] != own[d:]
+        for i in np.flatnonzero(near):
+            if root[i] != root[i + d] and similar(sets[i], sets[i + d], spec.similarity):
+                _unite(root, np.array([i]), np.array([i + d]))
+                yield i, i + d
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, scratch: Scratch, spec: Near) -> DataFrame:
+    """Edges a, b of spanning forests of the exact links inside each group of candidates (node, root).
+
+    docs: key, text. Only the texts of candidates are read again, one row for each node.
+    """
+    whole = candidates.union(candidates.select(F.col("root").alias("node"), "root").distinct())
+    members = scratch.save(whole.join(nodes.select("node", "fp", "shingles", F.col("least.key").alias("key")), "node"))
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    parts = salted.groupBy("root", "salt").agg(F.count("*").alias("size"), F.sum("shingles").alias("total"))
+    chunks = F.ceil(F.greatest(F.sum("size") / GROUP, F.sum("total") / GROUP_SHINGLES, F.lit(1.0))).cast("int")
+    sizes = parts.select("root", "salt").join(parts.groupBy("root").agg(chunks.alias("chunks")), "root")
+    known = salted.join(sizes, ["root", "salt"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).drop("salt", "shingles")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+    dealt = docs.join(known, "key").select("root", F.explode(pairs).alias("pair"), "node", "own", "fp", "text").select("root", "pair.i", "pair.j", "node", "own", "fp", "text")
+    dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, {}
+
+        def edges() -> list[tuple[bytes, bytes]]:
+            if len(held) < 2:
+                return []
+            names = list(held)
+            fps = np.frombuffer(b"".join(held[x][1] for x in names), np.uint8).reshape(len(names), -1)
+            found = _exact_links(fps, np.array([held[x][0] for x in names]), [held[x][2] for x in names], spec)
+            return [(names[i], names[j]) for i, j in found]
+
+        def batch(pairs) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+        for b in batches:
+            out = []
+            for root, i, j, node, own, fp, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if (root, i, j) != group:
+                    out += edges()
+                    group, held = (root, i, j), {}
+                if node not in held:
+                    held[node] = (own, fp, distinct_shingles(text))
+            yield batch(out)
+        yield batch(edges())
+
+    return dealt.mapInArrow(verify, "a binary, b binary")
+
+
+def near_dedup(docs: DataFrame, spec: Near = CORPUS) -> DataFrame:
     """The rows of docs without all but one row of each group of near-duplicates; columns as they were.
 
-    The row with the smallest doc_id stays (of several rows with that id, one). Rows with a null
-    doc_id stay, as no group can name them; so does a row whose text has no word, unless another such row
-    has a smaller id.
+    Links are pairs of texts of at least spec.similarity, each verified exactly. Texts with equal sets of shingles
+    are one node. The row with the smallest doc_id stays, one with a null doc_id only if there is no other; rows
+    are told apart by doc_id and text. Texts without a word are one group.
     """
-    groups = simhash_groups(docs.select("doc_id", "text"), spec)
-    keep = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    once = docs.filter(F.col("doc_id").isNotNull()).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(docs.filter(F.col("doc_id").isNull())).select(*docs.columns)
+    from .minhash import signature_of
+
+    short_batches(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession)
+    name = F.when(F.col("doc_id").isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col("doc_id").cast("string")))
+    key = F.unhex(F.md5(F.concat(name, F.lit("\0"), F.coalesce("text", F.lit(""))).cast("binary")))
+    slim = docs.select(key.alias("key"), "doc_id", "text")
+    bands, places, bits = spec.bands, spec.places, spec.bits
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"node": pa.binary(), "fp": pa.binary(), "shingles": pa.int64(), "buckets": pa.list_(pa.int64())}
+        for b in batches:
+            rows = []
+            for t in b.column(2):
+                x = distinct_shingles(t.as_py())
+                s = signature_of([x] if len(x) else [])
+                own = [xxhash.xxh64_intdigest(s[k * places : (k + 1) * places].tobytes(), k) - (1 << 63) for k in range(bands)]
+                rows.append((xxhash.xxh128_digest(x.tobytes()), shingle_fingerprint(x, bits), len(x), own))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)]], names=["key", "doc_id", *kinds])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    signed = scratch.save(slim.mapInArrow(sign, f"key binary, doc_id {kind}, node binary, fp binary, shingles long, buckets array<long>"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least")
+    nodes = scratch.save(signed.groupBy("node").agg(least, F.first("fp").alias("fp"), F.first("shingles").alias("shingles"), F.first("buckets").alias("buckets")))
+    scratch.drop(signed)
+    candidates = components(_links(nodes.select("node", "fp", F.explode("buckets").alias("bucket")), spec.radius), scratch)
+    roots = components(_verified(slim.select("key", "text"), nodes, candidates, scratch, spec), scratch)
+    rooted = nodes.select("node", "least").join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
+    keep = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("_key"))
+    return docs.withColumn("_key", key).join(keep, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def hexed(fp: Column) -> Column:

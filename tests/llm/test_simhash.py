@@ -119,3 +119,35 @@ def test_near_dedup_keeps_one_of_a_group(spark):
     out = S.near_dedup(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert out.columns == ["doc_id", "text", "lang"]
     assert sorted((r.doc_id or -1, r.lang) for r in out.collect()) == [(-1, "e"), (3, "b"), (4, "d")]
+
+
+def pair(rng, shared, new):
+    """Two texts of `shared` common five-word shingles and `new` others each: a common start and own ends."""
+    start = [f"w{x}" for x in rng.integers(0, 1 << 40, shared + 4)]
+    return [" ".join(start + [f"w{x}" for x in rng.integers(0, 1 << 40, new)]) for _ in range(2)]
+
+
+def test_near_dedup_is_exact_about_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(S, "GROUP", 3, raising=False)  # so that groups are dealt out in pairs of chunks
+    rng = np.random.default_rng(12)
+    rows, want = [], set()
+    for k, (shared, new) in enumerate([(160, 20)] * 60 + [(158, 21)] * 60 + [(90, 5)] * 30 + [(140, 30)] * 60 + [(16, 2)] * 30):
+        a, b = pair(rng, shared, new)
+        rows += [(2 * k, a), (2 * k + 1, b)]
+        want |= {2 * k} if shared / (shared + 2 * new) >= 0.8 else {2 * k, 2 * k + 1}
+    base = [f"w{x}" for x in rng.integers(0, 1 << 40, 300)]
+    for k in range(12):  # one group of many
+        rows.append((9000 + k, " ".join([*base[: 10 * k], "new", *base[10 * k + 1 :]])))
+    want.add(9000)
+    line = " ".join(f"r{k}" for k in range(40))  # repeated shingles count once
+    rows += [(9500, " ".join([line] * 2)), (9501, " ".join([line] * 90))]
+    want.add(9500)
+    got = [r.doc_id for r in S.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()]
+    assert len(got) == len(set(got)) and set(got) - want == set() and want - set(got) == set()
+
+
+def test_near_dedup_decides_by_row(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(50)) for x in "abc")
+    rows = [(1, a), (1, b), (1, b), (2, b), (None, c), (None, c), (None, a)]
+    got = S.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, c), (1, a), (1, b)]
