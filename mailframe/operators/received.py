@@ -1,4 +1,4 @@
-"""The path of a mail, from its Received lines, in built-in expressions."""
+"""The path of a mail, from its Received lines, in built-in expressions but for uncommon dates."""
 
 from __future__ import annotations
 
@@ -51,6 +51,8 @@ def parse_hops(lines: DataFrame, line: str = "line") -> DataFrame:
     split = F.split(F.col("_for"), " from ")
     tail = F.array_join(F.slice(split, 2, F.greatest(F.size(split) - 1, F.lit(0))), " ")
     df = fixed(df, _sender=F.when(F.size(split) > 1, F.concat_ws(" ", F.col("_from"), tail)).otherwise(F.col("_from")), _recipient=split[0])
+    # Python functions stand outside generators; only dates in no common format have work to do in it.
+    df = df.withColumn("_when", dates.robust(F.when(usable & dated, F.col("_date"))))
     df = fixed(df, _senders=extract.domains_and_ips(F.col("_sender")), _relays=extract.domains_and_ips(F.col("_by")), _recipients=F.array_sort(F.array_distinct(extract.found(F.col("_recipient"), P.EMAIL))))
     none_if_empty = lambda a: F.when(F.size(a) > 0, F.col(a))
     out = {
@@ -61,7 +63,7 @@ def parse_hops(lines: DataFrame, line: str = "line") -> DataFrame:
         "for": none_if_empty("_recipients"),
         "date_text": F.when(usable & dated, F.col("_date")),
         "warning": F.when(F.col("_merged"), F.array(F.lit(MERGED))).when(F.size("_words") == 0, F.array(F.lit(NOTHING))),
-        "date": F.when(usable & dated, dates.parse_or_epoch(F.col("_date"))),
+        "date": F.when(usable & dated, F.col("_when")),
     }
     keep = [c for c in lines.columns if c not in out]
     return df.select(*keep, F.explode(F.array(F.struct(*[v.alias(k) for k, v in out.items()]))).alias("_hop")).select(*keep, "_hop.*")

@@ -247,17 +247,20 @@ def file_extensions(spark, sf):
 SELECT o_orderkey, CASE o_orderkey % 6 WHEN 4 THEN date_trunc('minute', o_orderdate) WHEN 5 THEN TIMESTAMP '1970-01-01' ELSE date_trunc('second', o_orderdate) END AS parsed FROM orders
 """)
 def normalise_dates(spark, sf):
-    """Six ways of writing a date, one of them junk."""
+    """Eight ways of writing a date, one of them junk, two of them (C's, and years of two digits) beyond the common formats."""
     o, k, d = read(spark, sf, "orders"), F.col("o_orderkey") % 6, F.col("o_orderdate")
+    odd = F.col("o_orderkey") % 12 >= 6
     line = (
-        F.when(k == 0, F.date_format(d, "EEE, d MMM yyyy HH:mm:ss +0000"))
+        F.when((k == 0) & odd, F.date_format(d, "EEE MMM d HH:mm:ss yyyy"))
+        .when((k == 2) & odd, F.date_format(d, "d MMM yy HH:mm:ss +0000"))
+        .when(k == 0, F.date_format(d, "EEE, d MMM yyyy HH:mm:ss +0000"))
         .when(k == 1, F.concat(F.date_format(d + F.expr("INTERVAL 2 HOURS"), "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" +0200 (CEST)")))
         .when(k == 2, F.concat(F.date_format(d - F.expr("INTERVAL '03:30' HOUR TO MINUTE"), "d MMM yyyy HH:mm:ss"), F.lit(" -0330")))
         .when(k == 3, F.concat(F.date_format(d - F.expr("INTERVAL 5 HOURS"), "d MMM yyyy HH:mm:ss"), F.lit(" EST")))
         .when(k == 4, F.date_format(d, "d MMM yyyy HH:mm"))
         .otherwise("no date at all")
     )
-    return o.select("o_orderkey", dates.parse_or_epoch(line).cast("timestamp_ntz").alias("parsed"))
+    return o.select("o_orderkey", dates.robust(line).cast("timestamp_ntz").alias("parsed"))
 
 
 # ---- the path of a mail ----------------------------------------------------------------------

@@ -162,3 +162,10 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.sql("SELECT kind, value FROM found").collect()
     assert ("email", "x@example.net") in {tuple(r) for r in got} and sum(r.value == "x@example.net" for r in got) == 1
+
+
+def test_hop_dates_in_uncommon_formats(spark):
+    odd = {"Mon Jan 2 10:00:00 2006": "2006-01-02 10:00:00", "2 Jan 06 10:00:00 +0100": "2006-01-02 09:00:00", "Mon, 2 Jan 2006 10:00:00 BST": "2006-01-02 10:00:00", "Mon, 2 Jan 2006 10:00:00 +0200": "2006-01-02 08:00:00", "no date": "1970-01-01 00:00:00"}
+    lines = spark.createDataFrame([(f"from a.example.com by b.example.com with SMTP; {d}", d) for d in odd], "line string, d string")
+    got = received.parse_hops(lines).filter("src is not null").selectExpr("d", "cast(cast(date as timestamp_ntz) as string) AS at").collect()
+    assert {r.d: r.at for r in got} == odd
