@@ -17,16 +17,19 @@ def chosen(key: Column, rate: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, text, y of about `rows` labelled rows, the labels balanced as far as they go.
+    """doc_id, text, y of about `rows` labelled doc_ids, the labels balanced as far as they go.
 
-    learn: which doc_ids may be learned from. Each label value gets half of the rows. Rows with a null
-    label are left out.
+    learn: which doc_ids may be learned from. Each label value gets half of the rows. Null ids and labels
+    are left out; of several labels of one id the greatest counts, of several texts of one id the least, so
+    repeated rows can't make the sample longer.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull()).filter(learn)
+    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     counts = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     rate = F.when(F.col("y") == 1, F.lit(min(1.0, rows / 2 / max(1, counts.get(1, 0))))).otherwise(F.lit(min(1.0, rows / 2 / max(1, counts.get(0, 0)))))
     few = known.filter(chosen(F.col("doc_id"), rate))
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # bounded by `rows`
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id")  # bounded by `rows`
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
 
 def sigmoid(x):

@@ -1,15 +1,16 @@
 """Toxicity by weak supervision.
 
 1. Voters. Fixed English insult lexicons, lexicons mined from labelled rows (words and word starts,
-   dealt out to several voters) and patterns (share of flagged words, several kinds of them, shouting, address)
-   vote toxic, clean or abstain.
+   dealt out to several voters) and patterns (several kinds of flagged words, all their evidence, shouting,
+   flagged words said to a "you") vote toxic, clean or abstain.
 2. Label model. A generative model of the votes, two classes with a vote table for each voter, is fitted
    by expectation maximisation over the votes of all rows (as counts of vote patterns, of which there
-   is a bounded number). Correlations of voters given the class are estimated, too; a voter's evidence is divided
+   are at most 3^11). Correlations of voters given the class are estimated, too; a voter's evidence is divided
    by one plus the sum of its correlations with the others, so that voters that repeat each other don't
-   count twice. Labelled rows give the first tables and stay in as a further, known, voter.
-3. Classifier. Logistic regression on the shares of flagged words is trained on the posterior labels of
-   a bounded sample, and calibrated.
+   count twice. Labelled rows have a known class in this model, and so anchor which class is which.
+3. Classifier. Logistic regression on the shares of flagged words is trained on the label model's posteriors,
+   and on nothing else, of a bounded sample of all rows, labelled or not. Labels then set the scale of
+   its scores (two numbers).
 
 Texts are read whole, word by word.
 """
@@ -23,10 +24,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_hash, short_batches, table
+from .common import Scratch, id_hash, short_batches, table
 from .learning import labelled_sample, platt, sigmoid
 
 INSULTS = {
@@ -34,27 +36,42 @@ INSULTS = {
     "worth": ("trash", "garbage", "worthless", "pathetic", "loser", "losers", "failure", "useless", "scum", "vermin", "filth", "parasite"),
     "person": ("clown", "clowns", "creep", "freak", "pig", "disgusting", "ugly", "liar", "coward", "hypocrite", "jerk", "bastard"),
 }
+#: Words for the person spoken to, in the languages of the corpus.
+YOU = frozenset("you your youre u ya du dich dir dein deine ihr sie tu te toi vous votre usted tú ti eres".split())
+#: Words after such a word in which a flagged one is meant for that person.
+REACH = 3
 #: Word starts that lexicons are mined for, besides whole words.
 STARTS = (5, 7)
 #: A mined entry: at least so many toxic rows of the sample, so many times as frequent in toxic rows.
 LEAST_ROWS, LEAST_RATIO = 4, 3.0
-#: Entries that a lexicon holds at most (the strongest).
+#: Entries that the mined lexicons hold at most (the strongest): it bounds the classifier's features, not what is read.
 LEXICON = 4000
-SHARDS = 4
+SHARDS = 2
+#: Rows (different texts) whose posteriors the classifier is trained on, at most: half with a toxic vote, half without.
+TRAIN_ROWS = 4000
 PRIOR = 0.1
+#: Log odds from which a flagged word is a strong sign.
+STRONG = float(np.log(8))
 WORD = re.compile(r"\w+")
+CAPITALS = re.compile(r"\b[A-ZÄÖÜÉÈÑ]{4,}\b")
 
 
-def words_of(text: str | None) -> Counter:
-    """Counts of the lower-cased words of a whole text."""
-    out, text = Counter(), text or ""
-    start = 0
+def words_in_order(text: str | None) -> Iterator[list[str]]:
+    """The lower-cased words of a whole text, in lists of bounded length."""
+    text, start = text or "", 0
     while start < len(text):
-        end = min(len(text), start + (1 << 20))
+        end = min(len(text), start + (1 << 18))
         while end < len(text) and not text[end].isspace():
             end += 1
-        out.update(WORD.findall(text[start:end].lower()))
+        yield WORD.findall(text[start:end].lower())
         start = end
+
+
+def words_of(text: str | None) -> Counter:
+    """Counts of the lower-cased words of a whole text."""
+    out = Counter()
+    for words in words_in_order(text):
+        out.update(words)
     return out
 
 
@@ -112,7 +129,7 @@ class Voters:
         keys = list(lexicon.entries)
         self.odds = np.array([v for _, v in lexicon.entries.values()])
         fixed = {f"={w}": k for k, ws in enumerate(INSULTS.values()) for w in ws}
-        self.names = [f"insults:{k}" for k in INSULTS] + [f"{kind}:{s}" for kind in ("words", "starts") for s in range(SHARDS)] + ["share", "kinds", "evidence", "shouting"]
+        self.names = [f"insults:{k}" for k in INSULTS] + [f"{kind}:{s}" for kind in ("words", "starts") for s in range(SHARDS)] + ["kinds", "evidence", "address", "shouting"]
         self.voter_of = []
         for j, k in enumerate(keys):
             if k in fixed:
@@ -129,15 +146,26 @@ class Voters:
         for v in range(len(self.names) - 4):
             x = strong[v] * per_word
             out[v] = 1 if x >= 0.012 else 0 if not n or strong[v] == 0 else -1
-        words = sum(k for j, k in hits.items() if self.odds[j] >= np.log(8)) * per_word
-        out[-4] = 1 if words >= 0.012 else 0 if words < 0.003 else -1
-        kinds = sum(self.odds[j] >= np.log(8) for j in hits)
-        out[-3] = 1 if kinds >= 3 and words >= 0.006 else 0 if kinds == 0 else -1
+        words = sum(k for j, k in hits.items() if self.odds[j] >= STRONG) * per_word
+        kinds = sum(self.odds[j] >= STRONG for j in hits)
+        out[-4] = 1 if kinds >= 3 and words >= 0.006 else 0 if kinds == 0 else -1
         evidence = sum(k * self.odds[j] for j, k in hits.items()) * per_word
-        out[-2] = 1 if evidence >= 0.06 else 0 if evidence < 0.015 else -1
-        out[-1] = 0 if text is None or "!" not in text else -1
+        out[-3] = 1 if evidence >= 0.06 else 0 if evidence < 0.015 else -1
+        out[-2] = 0 if not kinds else 1 if self.addressed(text) else -1
+        loud = CAPITALS.findall(text or "")
+        out[-1] = 1 if len(loud) >= 2 and len(loud) * per_word >= 0.01 and "!" in text else -1 if loud or "!" in (text or "") else 0
         return out
 
+    def addressed(self, text: str | None) -> bool:
+        """Whether a strongly flagged word follows a word for the person spoken to."""
+        left = 0
+        for words in words_in_order(text):
+            for w in words:
+                if left and any(self.odds[j] >= STRONG for j in self.lexicon.columns_of(w)):
+                    return True
+                left = REACH if w in YOU else max(0, left - 1)
+        return False
+
 
 @dataclass
 class LabelModel:
@@ -243,7 +271,7 @@ def feature_vector(voters: Voters, hits: dict[int, int], n: int) -> tuple[np.nda
     share = 100.0 * k / max(10, n)
     odds = voters.odds[at]
     total = share @ odds
-    strong = share[odds >= np.log(8)].sum()
+    strong = share[odds >= STRONG].sum()
     extra = np.array([np.sqrt(total), min(total, 20.0), np.sqrt(strong), min(strong, 10.0)])
     return np.r_[at, size + np.arange(4)], np.r_[0.3 * np.sqrt(share), extra]
 
@@ -283,59 +311,83 @@ def _mine(sample: DataFrame) -> tuple[list[tuple[str, int, int]], int, int]:
     return [(r.key, r.toxic, r.clean) for r in best if r.key], *total
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic") -> ToxicityModel:
-    """A model; labels are read for the doc_ids for which `learn` holds only. Without any, the fixed lexicons vote alone."""
-    short_batches(docs.sparkSession)
-    sample = labelled_sample(docs, labels, label, learn).select("text", "y").persist()
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "toxic", train_rows: int = TRAIN_ROWS) -> ToxicityModel:
+    """A model; labels are read for the doc_ids for which `learn` holds only.
+
+    Without any labels the fixed lexicons and patterns vote alone and scores keep the classifier's own scale. An
+    empty table gives a model that says the prior. Repeated texts count each in the label model and once in training.
+    """
+    spark = docs.sparkSession
+    short_batches(spark)
+    scratch = Scratch(spark)
+    sample = scratch.save(labelled_sample(docs, labels, label, learn).select("text", "y"))
     counts, toxic, clean = _mine(sample)
     voters = Voters(Lexicon.mined(counts, toxic, clean))
     size = voters.lexicon.columns + 4
 
-    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Counter()
+    def packed(text: str | None, hits: dict[int, int], n: int) -> tuple[bytes, bytes]:
+        at, x = feature_vector(voters, hits, n)
+        return at.astype("<i4").tobytes(), x.astype("<f8").tobytes()
+
+    def known_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            rows = []
             for t in b.column(0).to_pylist():
-                seen[bytes(x + 1 for x in voters.vote(t, *voters.lexicon.count(t)))] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["votes", "n"])
+                hits, n = voters.lexicon.count(t)
+                rows.append((bytes(k + 1 for k in voters.vote(t, hits, n)), *packed(t, hits, n)))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 3
+            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.binary()) for c in columns], b.column(1)], names=["votes", "at", "x", "y"])
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = sorted(sample.mapInArrow(known_rows, "votes binary, at binary, x binary, y int").collect(), key=lambda r: (r.y, r.votes, r.at, r.x))
+    y = np.array([r.y for r in known], np.int64)
+    loud_of = [float(np.mean([2 in r.votes for r in known if r.y == k] or [0.5])) for k in (0, 1)]
+    loud_share = max(0.02, PRIOR * loud_of[1] + (1 - PRIOR) * loud_of[0])
+    total = max(1, docs.count())
+    # twice as many as are wanted, as the share is a guess; the excess goes below
+    rates = [min(1.0, train_rows / total / (1 - min(loud_share, 0.9))), min(1.0, train_rows / total / loud_share)]
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, seen, taken = ["votes", "n", "key", "at", "x"], Counter(), set()
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         for b in batches:
-            v, at, x = [], [], []
+            rows = []
             for t in b.column(0).to_pylist():
                 hits, n = voters.lexicon.count(t)
-                a, f = feature_vector(voters, hits, n)
-                v.append(bytes(k + 1 for k in voters.vote(t, hits, n)))
-                at.append(a.astype("<i4").tobytes())
-                x.append(f.astype("<f8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()), pa.array(at, pa.binary()), pa.array(x, pa.binary()), b.column(1)], names=["votes", "at", "x", "y"])
-
-    patterns = docs.select("text").mapInArrow(votes, "votes binary, n long").groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").collect()
-    known = sorted(sample.mapInArrow(rows, "votes binary, at binary, x binary, y int").collect(), key=lambda r: (r.y, r.votes, r.at, r.x))
-    sample.unpersist()
+                vote = bytes(x + 1 for x in voters.vote(t, hits, n))
+                seen[vote] += 1
+                key = xxhash.xxh64_intdigest((t or "").encode("utf-8", "surrogatepass"), 11)
+                if key < rates[2 in vote] * 2**64 and key not in taken:
+                    taken.add(key)
+                    rows.append((vote, 0, key - 2**63, *packed(t, hits, n)))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        none = [None] * len(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((list(seen), list(seen.values()), none, none, none), kinds, strict=True)], names=names)
+
+    voted = scratch.save(docs.select("text").mapInArrow(votes, "votes binary, n long, key long, at binary, x binary"))
+    patterns = voted.filter("key IS NULL").groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").collect()
+    texts = voted.filter("key IS NOT NULL").groupBy("key").agg(*[F.min(c).alias(c) for c in ("votes", "at", "x")])
+    loud = F.instr(F.hex("votes"), "02") % 2 == 1  # vote 1, as a byte
+    train_on = [r for side in (loud, ~loud) for r in texts.filter(side).orderBy("key").limit(train_rows // 2).collect()]
+    scratch.drop(sample)
+    scratch.drop(voted)
     read = lambda rs: np.array([[k - 1 for k in r.votes] for r in rs], np.int64).reshape(len(rs), len(voters.names))
-    y = np.array([r.y for r in known], np.int64)
     model = LabelModel.fit(read(patterns), np.array([r.n for r in patterns], float), read(known), np.ones(len(known)), y)
-    out = ToxicityModel(voters, model, np.zeros(size), *_without_labels(model))
-    if len(known):
-        p = model.posterior(read(known))
-        # the label of a labelled row is a voter that is right in 95 of 100 rows
-        logit = np.log(np.clip(p, 1e-6, 1 - 1e-6) / np.clip(1 - p, 1e-6, 1)) + np.where(y == 1, 1, -1) * np.log(19)
-        data = [(np.frombuffer(r.at, "<i4").astype(np.int64), np.frombuffer(r.x, "<f8")) for r in known]
-        order = np.random.default_rng(4).permutation(len(data))
-        cut = len(data) // 5
-        out.weights, out.bias = train([data[i] for i in order[cut:]], sigmoid(logit)[order[cut:]], size)
-        raw = np.array([out.bias + data[i][1] @ out.weights[data[i][0]] for i in order[:cut]])
-        out.a, out.b = platt(raw, y[order[:cut]].astype(float))
+    out = ToxicityModel(voters, model, np.zeros(size), float(np.log(model.prior / (1 - model.prior))))
+    vectors = lambda rs: [(np.frombuffer(r.at, "<i4").astype(np.int64), np.frombuffer(r.x, "<f8")) for r in rs]
+    if train_on:
+        out.weights, out.bias = train(vectors(train_on), model.posterior(read(train_on)), size)
+    if known:
+        raw = np.array([out.bias + x @ out.weights[at] for at, x in vectors(known)])
+        out.a, out.b = platt(raw, y.astype(float))
     return out
 
 
-def _without_labels(model: LabelModel) -> tuple[float]:
-    """The bias of a classifier that has learned nothing."""
-    return (float(np.log(model.prior / (1 - model.prior))),)
-
-
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """doc_id, score of every row; a null text counts as empty. Other columns are not read."""
+    """doc_id, score of every row: null ids and repeated rows give a row each, an empty table none.
+
+    A null text counts as empty. Other columns are not read.
+    """
     from .quality import score as scored
 
     return scored(docs, model)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from mailframe.llm import language as L
 from mailframe.llm import quality as Q
 from mailframe.llm import toxicity as T
-from mailframe.llm.learning import platt, sigmoid
+from mailframe.llm.learning import labelled_sample, platt, sigmoid
 
 SYLLABLES = {"aa": ["ka", "lo", "mi"], "bb": ["stre", "nch", "ung"], "cc": ["ção", "el", "que"]}
 TOXIC = ["idiot", "scum", "moron", "trash", "zorgut", "blexig"]
@@ -109,6 +109,40 @@ def test_toxicity(corpus):
     assert {5000, 5001, 5002} <= kept
 
 
+def test_toxicity_is_learned_from_posteriors(corpus, monkeypatch):
+    docs, labels, _, by_id = corpus
+
+    def found():
+        model = T.fit(docs, labels, ~T.held_out(F.col("doc_id")))
+        got = {r.doc_id: r.score >= 0.7 for r in T.score(docs, model).collect()}
+        toxic = [i for i, r in by_id.items() if i in got and r[2] == 1]
+        return sum(got[i] for i in toxic) / len(toxic)
+
+    assert found() > 0.8
+    monkeypatch.setattr(T.LabelModel, "posterior", lambda self, votes: np.full(len(votes), 0.5))
+    assert found() < 0.1
+
+
+def test_toxicity_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(1, f"you idiot {k}", 5) for k in range(300)] + [(k, "fine words", 6) for k in range(2, 400)], "doc_id long, text string, y int")
+    labels = spark.createDataFrame([(1, 1)] * 300 + [(k, 0) for k in range(2, 400)], "doc_id long, toxic int")
+    assert labelled_sample(docs, labels, "toxic", F.lit(True)).filter("y = 1").count() == 1  # one id, however often it is there
+    model = T.fit(docs, labels, F.lit(True), train_rows=40)
+    assert len({r.score for r in T.score(docs.limit(5), model).collect()}) == 1
+
+
+def test_voters():
+    v = T.Voters(T.Lexicon.mined([], 0, 0))
+    vote = lambda t: dict(zip(v.names, v.vote(t, *v.lexicon.count(t)), strict=True))
+    rude, calm = vote("You are a stupid PATHETIC LOSER!"), vote("a calm text")
+    assert rude["address"] == rude["shouting"] == rude["kinds"] == rude["insults:mind"] == 1
+    assert calm["address"] == calm["shouting"] == calm["kinds"] == calm["insults:mind"] == 0
+    assert vote("the stupid thing, you know")["address"] == -1 and vote("NASA")["shouting"] == -1
+    assert vote(None) == vote("") == vote(" \n") and vote("x" * 600_000)["kinds"] == 0
+    long = "word " * 200_000 + "you idiot"
+    assert vote(long)["address"] == 1 and vote(long)["kinds"] == -1
+
+
 def test_toxicity_without_labels(corpus):
     docs, labels, _, _ = corpus
     model = T.fit(docs, labels.limit(0), F.lit(True))
