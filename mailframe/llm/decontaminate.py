@@ -5,19 +5,22 @@ A document holds an item if a part of it is within the item's edit budget k, a s
 By the q-gram lemma such a part shares at least m + 1 - q - kq of the item's m + 1 - q q-grams,
 and these lie on diagonals (place in the text less place in the item) that differ by k at most. So
 shared q-grams are counted in overlapping diagonal bands of 2 (k + 1), one beginning at each k + 1;
-bands that reach the bound are verified by banded alignment. Nothing within budget is lost.
+bands that reach the bound are verified by banded alignment, many at a time. Nothing within budget is lost: texts are
+normalised as a stream, and windows of it overlap by more than the longest match, whatever lies between its words.
 
-Items are taken in blocks of bounded size, each matched against all documents.
+Items are taken in blocks of bounded size, and the documents are read once for each block: a benchmark of up to 20,000
+items and two million characters takes one pass. Blocks go through the driver one at a time and into the plan. Postings of
+q-grams that many items share are counted in ranges of items, so that memory is bounded by POSTINGS.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -29,26 +32,44 @@ Q = 12
 #: Edits allowed: the item's length over this, as far as the lemma's bound stays above zero.
 PER_EDIT = 16
 #: Items and characters of items in a block, about.
-BLOCK_ITEMS, BLOCK_CHARS = 20_000, 1_000_000
-#: Characters of a document that are searched at a time.
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 2_000_000
+#: Normalised characters of a document that are searched at a time.
 PIECE = 1 << 18
-_LIMIT = 0x3000
-_WORD = np.array([chr(i).isalnum() for i in range(_LIMIT)] + [True])
+#: Shared q-grams that are counted at a time, and bands that are aligned at a time.
+POSTINGS, ALIGNED = 1 << 21, 1 << 12
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _TABLE_BITS = 22
 
 
+@cache
+def _letters() -> np.ndarray:
+    """For each code point, whether it is a letter or a digit."""
+    return np.array([chr(i).isalnum() for i in range(0x110000)])
+
+
+def stream(text: str, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Code points of the normalised text, and the place of each in the text, `size` characters of the text at a time."""
+    after_word = False
+    for start in range(0, len(text), size):
+        part = text[start : start + size]
+        low = part.lower()
+        if len(low) != len(part):  # a few letters grow when lowered
+            low = "".join(x if len(x := c.lower()) == 1 else c for c in part)
+        cp = points(low)
+        cp = np.where(cp == 0x3C2, np.uint32(0x3C3), cp)  # one sigma, wherever the word ends
+        word = _letters()[cp]
+        keep = word.copy()
+        keep[1:] |= word[:-1]
+        keep[0] |= after_word
+        after_word = word[-1]
+        at = np.flatnonzero(keep)
+        yield np.where(word[at], cp[at], np.uint32(32)), at + start
+
+
 def normalised(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Code points of the normalised text, and the place of each in the text."""
-    low = text.lower()
-    if len(low) != len(text):  # a few letters grow when lowered
-        low = "".join(x if len(x := c.lower()) == 1 else c for c in text)
-    cp = points(low)
-    word = _WORD[np.minimum(cp, _LIMIT)]
-    keep = word.copy()
-    keep[1:] |= word[:-1]
-    at = np.flatnonzero(keep)
-    return np.where(word[at], cp[at], np.uint32(32)), at
+    parts = [(np.zeros(0, np.uint32), np.zeros(0, np.int64)), *stream(text, PIECE)]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
 def grams(c: np.ndarray) -> np.ndarray:
@@ -64,28 +85,36 @@ def grams(c: np.ndarray) -> np.ndarray:
     return (h12 ^ (h12 >> np.uint64(32))) * _MUL[0]
 
 
-def banded_distance(item: np.ndarray, text: np.ndarray, low: int, high: int, k: int) -> tuple[int, int] | None:
-    """(edits, end) of the best alignment of the whole item with a part of the text on diagonals low to high.
+def banded_distances(items: np.ndarray, sizes: np.ndarray, text: np.ndarray, low: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row, edits and end of the best alignment of a whole item with a part of the text, on `width` diagonals from low on.
 
-    None above k edits. The end is a place in the text; the first such end is given.
+    items: a row each, filled up at the right; sizes: their lengths. Edits are k + 1 where there are more than k. The end is a
+    place in the text; of equal ones the one on the least diagonal is given. Rows that are beyond k are given up on the way.
     """
-    width = high - low + 1
-    padded = np.full(len(item) + width, -1, np.int64)
-    a, b = max(low, 0), min(len(text), low + len(padded))
-    if b <= a:
-        return None
-    padded[a - low : b - low] = text[a:b]
-    differs = (sliding_window_view(padded, width)[: len(item)] != item[:, None].astype(np.int64)).astype(np.int64)
-    step = np.arange(width)
-    row = np.zeros(width, np.int64)
-    for i in range(len(item)):
-        new = row + differs[i]
-        new[:-1] = np.minimum(new[:-1], row[1:] + 1)  # a character of the item is left out
-        row = np.minimum.accumulate(new - step) + step  # characters of the text are left out
-        if row.min() > k:
-            return None
-    best = int(row.argmin())
-    return int(row[best]), len(item) + low + best
+    edits, ends = np.full(len(items), k + 1), np.zeros(len(items), np.int64)
+    if not len(items):
+        return edits, ends
+    longest = int(sizes.max())
+    padded = np.full(len(text) + 2 * (longest + width), -1, np.int64)  # beyond the text nothing is equal
+    padded[longest + width : longest + width + len(text)] = text
+    first = np.clip(low + longest + width, 0, len(padded) - longest - width)
+    rows, step = np.arange(len(items)), np.arange(width)
+    cost = np.zeros((len(items), width), np.int64)
+    for i in range(longest):
+        new = cost + (padded[(first[rows] + i)[:, None] + step] != items[rows, i, None])
+        new[:, :-1] = np.minimum(new[:, :-1], cost[:, 1:] + 1)  # a character of the item is left out
+        cost = np.minimum.accumulate(new - step, axis=1) + step  # characters of the text are left out
+        best = cost.argmin(axis=1)
+        least = cost[np.arange(len(rows)), best]
+        done = (sizes[rows] == i + 1) & (least <= k)
+        edits[rows[done]] = least[done]
+        ends[rows[done]] = (sizes[rows] + low[rows] + best)[done]
+        alive = (least <= k) & (sizes[rows] > i + 1)
+        if not alive.all():
+            rows, cost = rows[alive], cost[alive]
+            if not len(rows):
+                break
+    return edits, ends
 
 
 @dataclass
@@ -133,40 +162,39 @@ class Index:
 class Matcher:
     def __init__(self, index: Index):
         self.x, self.seen = index, index.table()
-        self.reach = max((len(c) + 4 * (int(k) + 1) for c, k in zip(index.items, index.edits, strict=True)), default=0)
+        self.reach = max((len(c) + 4 * (int(k) + 1) for c, k in zip(index.items, index.edits, strict=True)), default=2 * Q)
+        self.size = np.array([len(c) for c in index.items], np.int64)
+        # the key of each posting and its item as one number, in order: a key's postings of a range of items are one slice
+        self.order = np.repeat(np.arange(len(index.keys)), np.diff(index.first)) * max(1, len(index.items)) + index.item
 
     def find(self, text: str | None) -> dict[object, tuple[int, int, int]]:
         """Item id -> (edits, start, end) of its best place in the text; the first of equal ones."""
         out: dict[object, tuple[int, int, int]] = {}
-        if not text:
-            return out
-        x = self.x
-        if x.short:
-            flat = " " + "".join(map(chr, normalised(text)[0])).strip() + " "
-            for words, keys in x.short.items():
-                if (at := flat.find(words)) >= 0:
-                    out |= {k: (0, at, at + len(words) - 2) for k in keys}
-        size = max(PIECE, 4 * self.reach)
-        start = 0
-        while True:
-            part = text[start : start + size]
-            for k, (edits, a, b) in self._find(part).items():
-                if k not in out or edits < out[k][0]:
-                    out[k] = (edits, start + a, start + b)
-            if start + size >= len(text):
-                return out
-            start += size - self._overlap(text, start + size)
-
-    def _overlap(self, text: str, end: int) -> int:
-        """Characters before `end` that hold as many normalised ones as the longest match."""
-        need, back = self.reach, self.reach
-        while back < end and back < 1 << 17 and len(normalised(text[end - back : end])[0]) < need:
-            back *= 2
-        return min(back, max(PIECE, 4 * self.reach) // 2)
-
-    def _find(self, text: str) -> dict[object, tuple[int, int, int]]:
+        size, keep = max(PIECE, 4 * self.reach), self.reach + 2 * Q
+        c, at, begin = np.zeros(0, np.uint32), np.zeros(0, np.int64), True
+        for new, places in stream(text or "", size):
+            c, at = np.concatenate([c, new]), np.concatenate([at, places])
+            if len(c) >= size:
+                self._window(c, at, out, begin, False)
+                c, at, begin = c[-keep:], at[-keep:], False
+        if len(c):
+            self._window(c, at, out, begin, True)
+        return out
+
+    def _window(self, c: np.ndarray, at: np.ndarray, out: dict, begin: bool, end: bool) -> None:
+        if self.x.short:
+            flat = " " * begin + c.astype("<u4").tobytes().decode("utf-32-le", "replace") + " " * bool(end and c[-1] != 32)
+            for words, keys in self.x.short.items():
+                if (p := flat.find(words)) >= 0:
+                    p += 1 - begin
+                    for k in keys:
+                        out.setdefault(k, (0, int(at[p]), int(at[p + len(words) - 3]) + 1))
+        for k, found in self._find(c, at).items():
+            if k not in out or found[0] < out[k][0]:
+                out[k] = found
+
+    def _find(self, c: np.ndarray, at: np.ndarray) -> dict[object, tuple[int, int, int]]:
         x, out = self.x, {}
-        c, at = normalised(text)
         h = grams(c)
         i = np.flatnonzero(self.seen[h >> np.uint64(64 - _TABLE_BITS)])
         if not i.size:
@@ -177,39 +205,42 @@ class Matcher:
         i, k = i[same], k[same]
         if not i.size:
             return out
-        many = x.first[k + 1] - x.first[k]
-        post = np.repeat(x.first[k] - np.cumsum(many) + many, many) + np.arange(many.sum())
-        item, diagonal = x.item[post], np.repeat(i, many) - x.place[post]
-        band = (diagonal + (1 << 30)) // (x.edits[item] + 1)
-        key = np.concatenate([item * (1 << 32) + band, item * (1 << 32) + band - 1])
-        key, count = np.unique(key, return_counts=True)
-        good = count >= x.bound[key >> 32]
-        for one in key[good]:
-            j, b = int(one >> 32), int(one & 0xFFFFFFFF)
-            edits = int(x.edits[j])
-            low = b * (edits + 1) - (1 << 30)
-            if x.ids[j] in out and out[x.ids[j]][0] == 0:
-                continue
-            got = self._verify(c, j, low, low + 2 * edits + 1, edits, diagonal[item == j])
-            if got and (x.ids[j] not in out or got[0] < out[x.ids[j]][0]):
-                d, a, e = got
-                out[x.ids[j]] = (d, int(at[a]), int(at[e - 1]) + 1)
+        n, total = len(x.items), int((x.first[k + 1] - x.first[k]).sum())
+        parts = -(-total // POSTINGS)
+        for p in range(parts):
+            first, last = x.first[k], x.first[k + 1]
+            if parts > 1:
+                first = np.searchsorted(self.order, k * n + p * n // parts)
+                last = np.searchsorted(self.order, k * n + (p + 1) * n // parts)
+            many = last - first
+            post = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+            item, diagonal = x.item[post], np.repeat(i, many) - x.place[post]
+            band = (diagonal + (1 << 30)) // (x.edits[item] + 1)
+            key = np.concatenate([item * (1 << 32) + band, item * (1 << 32) + band - 1])
+            key, count = np.unique(key, return_counts=True)
+            key = key[count >= x.bound[key >> 32]]
+            for j, edits, end in self._verified(c, key >> 32, key & 0xFFFFFFFF):
+                own = x.ids[j]
+                if own not in out or edits < out[own][0]:
+                    end = max(1, min(end, len(c)))
+                    out[own] = (edits, int(at[max(0, min(end - 1, end - int(self.size[j])))]), int(at[end - 1]) + 1)
         return out
 
-    def _verify(self, c, j, low, high, k, diagonals) -> tuple[int, int, int] | None:
-        item = self.x.items[j]
-        m = len(item)
-        inside = diagonals[(diagonals >= low) & (diagonals <= high)]
-        values, n = np.unique(inside, return_counts=True)
-        d = int(values[n.argmax()])
-        if n.max() >= m + 1 - Q and 0 <= d <= len(c) - m and (c[d : d + m] == item).all():
-            return 0, d, d + m
-        got = banded_distance(item, c, low - k, high + k, k)
-        if got is None:
-            return None
-        edits, end = got
-        end = min(end, len(c))
-        return edits, max(0, min(end - 1, end - m)), max(1, end)
+    def _verified(self, c: np.ndarray, item: np.ndarray, band: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """item, edits, end of the bands that hold an item, by item and place."""
+        found = []
+        for k in np.unique(self.x.edits[item]):
+            own = np.flatnonzero(self.x.edits[item] == k)
+            for start in range(0, len(own), ALIGNED):
+                j = item[own[start : start + ALIGNED]]
+                low = band[own[start : start + ALIGNED]] * (k + 1) - (1 << 30) - k
+                items = np.zeros((len(j), int(self.size[j].max())), np.int64)
+                for row, one in enumerate(j):
+                    items[row, : self.size[one]] = self.x.items[one]
+                edits, ends = banded_distances(items, self.size[j], c, low, int(4 * k + 2), int(k))
+                found += [(int(j[r]), int(low[r]), int(edits[r]), int(ends[r])) for r in np.flatnonzero(edits <= k)]
+        for j, _, edits, end in sorted(found):
+            yield j, edits, end
 
 
 def blocks(benchmark: DataFrame) -> Iterator[Index]:
@@ -226,8 +257,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, edits, start, end: a row for each document and item that it holds, at its best place.
 
     Null and empty texts and items hold nothing and are held by nothing; items without a q-gram (under
-    12 characters) are looked for exactly, as whole words. Repeated documents give their rows again;
-    other columns are not read.
+    12 characters) are looked for exactly, as whole words. Repeated documents give their rows again; items of one
+    id (null is one, too) in a block give one row, at the best place of any of them. Other columns are not read; an
+    empty table of documents or items gives an empty result.
     """
     short_batches(docs.sparkSession)
     slim = docs.select("doc_id", "text")
@@ -249,7 +281,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows that hold an item. Columns as they were; rows are judged each, without a shuffle."""
+    """docs without the rows that hold an item. Columns as they were, whatever their names; rows are judged each, without a shuffle."""
     short_batches(docs.sparkSession)
     at = docs.columns.index("text")
     for index in blocks(benchmark):

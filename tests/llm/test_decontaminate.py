@@ -66,6 +66,48 @@ def test_span_is_of_the_text():
     assert edits == 0 and norm(text[a:b]) == norm(item)
 
 
+def test_alignment_against_slow_distance():
+    rng = np.random.default_rng(3)
+    for trial in range(40):
+        item, k = prose(rng, 12)[:60], 3
+        text = prose(rng, 5) + edit(item, trial % 6, rng) + prose(rng, 5)
+        c, m = D.normalised(text)[0], len(item)
+        low = np.arange(-m - k, len(c) + k, 2)
+        edits, _ = D.banded_distances(np.repeat(D.normalised(item)[0][None, :m].astype(np.int64), len(low), axis=0), np.full(len(low), m), c, low, 4 * k + 2, k)
+        assert min(int(edits.min()), k + 1) == min(slow_distance(item, norm(text) + " "), k + 1)
+
+
+@pytest.mark.parametrize("gap", ["!" * 300_000, "\U0001F600" * 70_000, "、。" * 90_000])
+def test_gaps_of_any_length(gap):
+    item = "how many legs has a spider got and how many eyes has it got"
+    matcher = D.Matcher(D.Index.of([(1, item)]))
+    text = "x" * 200_000 + " " + item[:19] + gap + item[20:] + " y"
+    ((edits, a, b),) = matcher.find(text).values()
+    assert edits == 0 and norm(text[a:b]) == item
+
+
+def test_other_scripts():
+    item = "水的沸点，在海平面上是多少摄氏度？请回答问题。"
+    matcher = D.Matcher(D.Index.of([(1, item), (2, "ΟΔΥΣΣΕΥΣ ΚΑΙ ΠΗΝΕΛΟΠΗ ΣΤΗΝ ΙΘΑΚΗ")]))
+    assert matcher.find("前言 水的沸点、在海平面上是多少摄氏度！！请回答问题 后")[1][0] == 0 and 2 in matcher.find("… οδυσσευς και πηνελοπη στην ιθακη")
+
+
+@pytest.mark.parametrize("postings", [1 << 21, 500])
+def test_a_stem_that_many_items_share(monkeypatch, postings):
+    import time
+
+    monkeypatch.setattr(D, "POSTINGS", postings)
+    stem = "which of the following statements about this is "
+    rng = np.random.default_rng(9)
+    items = [(k, stem + prose(rng, 8)) for k in range(200)]
+    matcher = D.Matcher(D.Index.of(items))
+    text = stem * 200 + items[7][1] + " " + stem * 3
+    start = time.process_time()
+    got = matcher.find(text)
+    assert got[7][0] == 0 and (postings < 1000 or time.process_time() - start < 5)
+    assert got == {k: v for k, v in got.items() if slow_distance(norm(items[k][1]), norm(text)) == v[0]}
+
+
 @pytest.mark.parametrize("gap", ["x ", "! " * 50])
 def test_long_texts_go_piece_by_piece(monkeypatch, gap):
     monkeypatch.setattr(D, "PIECE", 400)
