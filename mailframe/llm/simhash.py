@@ -498,12 +498,22 @@ def near_dedup(docs: DataFrame, spec: Near = CORPUS) -> DataFrame:
     signed = scratch.save(slim.mapInArrow(sign, f"key binary, doc_id {kind}, node binary, fp binary, shingles long, buckets array<long>"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least")
     nodes = scratch.save(signed.groupBy("node").agg(least, F.first("fp").alias("fp"), F.first("shingles").alias("shingles"), F.first("buckets").alias("buckets")))
-    scratch.drop(signed)
     candidates = components(_links(nodes.select("node", "fp", F.explode("buckets").alias("bucket")), spec.radius), scratch)
     roots = components(_verified(slim.select("key", "text"), nodes, candidates, scratch, spec), scratch)
     rooted = nodes.select("node", "least").join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
-    keep = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("_key"))
-    return docs.withColumn("_key", key).join(keep, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    keep = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("key"), F.lit(True).alias("kept"))
+    # Only keys of rows that go, or are there more than once, meet the texts: few, so Spark can broadcast them where their size allows.
+    odd = scratch.save(signed.groupBy("key").agg(F.count("*").alias("n")).join(keep, "key", "left").filter("kept IS NULL OR n > 1").select("key", F.coalesce("kept", F.lit(False)).alias("kept")))
+    scratch.drop(signed)
+    name = "_key"
+    while name in docs.columns:
+        name += "_"
+    keyed, odd = docs.withColumn(name, key), odd.withColumnRenamed("key", name)
+    out = keyed.join(odd, name, "left_anti")
+    repeated = odd.filter("kept")
+    if repeated.limit(1).count():
+        out = out.unionByName(keyed.join(repeated, name, "left_semi").dropDuplicates([name]))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def hexed(fp: Column) -> Column:
