@@ -77,3 +77,19 @@ def test_all_full_or_all_empty_sources(spark):
 def test_words(spark):
     df = spark.createDataFrame([("a b c",), ("\x1c\t\x0b x",), (None,), ("",)], "text string")
     assert [r[0] for r in df.select(M.words_in(df.text)).collect()] == [2, 2, 0, 0]
+
+
+@pytest.mark.parametrize("weight", [0.1, 0.2, 0.35, 0.6, 1.0])
+def test_ranges_are_even(spark, weight):
+    from pyspark.sql import functions as F
+
+    keys = spark.range(200_000).select((-F.log((F.col("id") + 0.5) / 200_000.0) / F.lit(weight)).alias("key"))
+    most = keys.groupBy(F.floor(M.place(F.col("key")) * 64).alias("range")).count().agg(F.max("count")).first()[0]
+    assert most <= 2.3 * 200_000 / 64
+
+
+def test_clashing_columns(spark):
+    rows = [(i, f"some words {i}", "s", i, 1.0, 2, "x") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size long, key double, rest int, target string")
+    out = M.mix(df).collect()
+    assert len(out) == 20 and sum(r.taken for r in out) == 90 and out[0].source_size == 60
