@@ -23,6 +23,8 @@ BITS = 15
 ORDERS = (1, 2, 3)
 #: Labelled rows that the regression is fitted on, about, and the least for each language.
 SAMPLE_ROWS, LEAST_ROWS = 3000, 50
+#: Languages that are learned at most: it bounds the model.
+MOST_LANGUAGES = 256
 #: Share of the sample that is kept for the temperature.
 CALIBRATION = 0.15
 UNKNOWN = "und"
@@ -150,10 +152,14 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def fit(docs: DataFrame, learn: Column, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """A model from text and lang of the rows for which `learn` holds and lang is not null."""
+    """A model from text and lang of the rows for which `learn` holds and lang is not null.
+
+    The MOST_LANGUAGES most frequent languages are learned. The regression's sample holds different texts only,
+    so that repeated rows and ids (or null ones) can't make it longer. An empty table gives a model that knows no language.
+    """
     short_batches(docs.sparkSession)
     known = docs.select("doc_id", "text", "lang").filter(learn & F.col("lang").isNotNull())
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
+    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     languages = sorted(counts)
     if not languages:
         return LanguageModel([], np.ones(1 << BITS), np.zeros((1 << BITS, 0)), np.zeros(0))
@@ -161,7 +167,7 @@ def fit(docs: DataFrame, learn: Column, sample_rows: int = SAMPLE_ROWS) -> Langu
     idf = np.log((1 + n) / (1 + df)) + 1.0
     each = max(LEAST_ROWS, sample_rows // len(languages))
     rates = F.create_map(*[x for lang, k in counts.items() for x in (F.lit(lang), F.lit(min(1.0, each / k)))])
-    few = known.filter(chosen(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), rates[F.col("lang")]))
+    few = known.filter(chosen(F.xxhash64("doc_id", "text"), F.coalesce(rates[F.col("lang")], F.lit(0.0)))).dropDuplicates(["lang", "text"])
     names = {lang: k for k, lang in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +193,10 @@ def fit(docs: DataFrame, learn: Column, sample_rows: int = SAMPLE_ROWS) -> Langu
 
 
 def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id") -> DataFrame:
-    """key, lang_pred, score of every row; see LanguageModel.predict. Other columns are not read."""
+    """key, lang_pred, score of every row; see LanguageModel.predict.
+
+    Null ids and repeated rows give a row each, an empty table none. Other columns are not read.
+    """
     short_batches(docs.sparkSession)
     slim = docs.select(key, "text")
 
