@@ -6,6 +6,9 @@ functions a x + b mod 2^64, 16 bits of a hash of the least value over the shingl
 its highest bits are all 0 in long texts). Likeness is the share of equal places, an estimate of the Jaccard
 similarity with a standard error of 0.044 or less, whatever the length. Bands of signatures are joined in Spark and the pairs they bring together verified by
 exact Jaccard similarity.
+
+Texts are hashed piece by piece, words that a piece cuts are carried over, so that memory doesn't grow with a text that
+has no white space.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PIECE, Scratch, short_batches, table
+from .common import Scratch, short_batches, table
 from .simhash import CHUNK, LOWER, _unite, components, with_least
 
 SHINGLE = 5
@@ -26,23 +29,25 @@ PLACES = 128
 #: Two texts of similarity 0.8 share one of 20 bands of 6 places with probability 0.998.
 BANDS, BAND_PLACES = 20, 6
 THRESHOLD = 0.8
+#: Rows of a range of ids, and ranges at most.
+RANGE, RANGES = 16_384, 20_000
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(0, 1 << 64, PLACES, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 1 << 64, PLACES, dtype=np.uint64)
 _COMBINE = _RNG.integers(0, 1 << 64, SHINGLE, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes of a text that are hashed in one numpy step.
+STEP = 1 << 17
+
+
+def _powers(base: int) -> np.ndarray:
+    out = np.full(STEP + 1, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            out = np.full(max(n, PIECE // 16), base, np.uint64)
-            out[0] = 1
-            _powers[k] = np.multiply.accumulate(out)
-    return _powers[0], _powers[1]
+_POWER, _INVERSE = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -51,27 +56,38 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """A hash for each word of a text in UTF-8."""
-    b = np.frombuffer(raw, np.uint8)
-    edge = np.diff(np.r_[True, _SPACE[b], True].astype(np.int8))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    power, inverse = _power_tables(len(b) + 1)
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * power[: len(b)], out=sums[1:])
-    return _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+def word_hashes(raw: bytes) -> Iterator[np.ndarray]:
+    """A hash for each word of a text in UTF-8, in order, in arrays of bounded length.
+
+    A word's hash is mixed from its length and the sum of (byte + 1) base^place, which may be summed up over pieces.
+    """
+    carried, length = 0, 0  # sum and bytes of a word that the last piece cut
+    for at in range(0, len(raw), STEP):
+        b = np.frombuffer(raw, np.uint8, min(STEP, len(raw) - at), at)
+        edge = np.diff(np.r_[True, _SPACE[b], True].astype(np.int8))
+        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * _POWER[: len(b)], out=sums[1:])
+        own, size = (sums[ends] - sums[starts]) * _INVERSE[starts], ends - starts
+        if length and len(starts) and starts[0] == 0:
+            own[0] = (carried + pow(_BASE, length, 1 << 64) * int(own[0])) % (1 << 64)
+            size[0] += length
+        elif length:
+            own, size = np.r_[np.uint64(carried), own], np.r_[length, size]
+        length = 0
+        if at + len(b) < len(raw) and not _SPACE[b[-1]]:
+            carried, length = int(own[-1]), int(size[-1])
+            own, size = own[:-1], size[:-1]
+        if len(own):
+            yield _mix(own + size.astype(np.uint64))
 
 
 def shingle_hashes(text: str | None) -> Iterator[np.ndarray]:
     """Hashes of all shingles, in arrays of bounded length; of the whole sequence if it is shorter than one."""
     raw = (text or "").encode("utf-8", "surrogatepass").translate(LOWER)
-    at, seen, last = 0, 0, np.zeros(0, np.uint64)
-    while at < len(raw):
-        end = min(len(raw), at + PIECE)
-        while end < len(raw) and not _SPACE[raw[end]]:
-            end += 1
-        new = word_hashes(raw[at:end])
-        at, seen = end, seen + len(new)
+    seen, last = 0, np.zeros(0, np.uint64)
+    for new in word_hashes(raw):
+        seen += len(new)
         w = np.concatenate([last, new])
         n = len(w) - SHINGLE + 1
         if n > 0:
@@ -121,16 +137,16 @@ def fingerprint_chain(docs: DataFrame) -> DataFrame:
     their texts; null ids are the smallest; after the last comes the first, so a single row follows
     itself. A null text is empty. Other columns are not read; an empty table gives an empty result.
 
-    Ids are cut into ranges at ids that occur (so each range's first row is known beforehand); a
-    range is read in one task, in order, and gets a copy of the first row of the range that follows. The
-    texts are shuffled once.
+    Ids are cut into ranges of about RANGE rows at ids that occur (so each range's first row is known
+    beforehand); a range is one partition, read in order, and gets a copy of the first row of the range
+    that follows. The texts are shuffled once. Bounds of at most RANGES ranges come to the driver.
     """
     spark = docs.sparkSession
     short_batches(spark)
     least = -(1 << 63)
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("id"))
     n, top = ids.agg(F.count("*"), F.max("id")).first()
-    ranges = max(1, min(n // 1024, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    ranges = max(1, min(n // 1024, max(n // RANGE, 4 * spark.sparkContext.defaultParallelism), RANGES))
     found = ids.approxQuantile("id", [i / ranges for i in range(1, ranges)], 0.1 / ranges) if ranges > 1 else []
     exact = {r[0] for r in ids.filter(F.col("id").cast("double").isin(found)).distinct().collect()} if found else set()
     bounds = np.array(sorted(exact | ({top} if n else set())), np.int64)  # range i: ids above bound i - 1, up to bound i
@@ -148,7 +164,7 @@ def fingerprint_chain(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     dealt = rows.mapInArrow(deal, f"home long, copy boolean, id long, doc_id {kind}, text string")
-    in_order = dealt.repartition("home").sortWithinPartitions("home", "copy", F.desc("id"), "text")
+    in_order = dealt.repartitionById(max(1, len(bounds)), F.col("home").cast("int")).sortWithinPartitions("home", "copy", F.desc("id"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         home = before = None  # before: id, text, signature of the row that waits for its next one

@@ -34,18 +34,14 @@ _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 def features(text: str | None) -> Iterator[np.ndarray]:
     """Buckets of all occurrences: words below SIZE, n-grams from SIZE on, marks from 2 SIZE on. Digits count as 0."""
     text = text or ""
-    start, last = 0, np.zeros(0, np.uint64)
-    while start < len(text):  # words are cut at white space only
-        end = min(len(text), start + (1 << 20))
-        while end < len(text) and not text[end].isspace():
-            end += 1
-        new = word_hashes(text[start:end].encode("utf-8", "surrogatepass"))
+    last = np.zeros(0, np.uint64)
+    for new in word_hashes(text.encode("utf-8", "surrogatepass")):
         yield (new >> np.uint64(64 - BITS)).astype(np.int64)
         run = np.concatenate([last, new])
         for d in (1, 2):
             at = np.arange(max(len(last), d), len(run))
             yield (run[at] == run[at - d]).astype(np.int64) + (2 * SIZE + 2 * (d - 1))
-        start, last = end, run[-2:]
+        last = run[-2:]
     for k, piece in enumerate(pieces(text, max(ORDERS) - 1)):
         cp = points(piece)
         cp = np.where((cp >= 48) & (cp <= 57), np.uint32(48), cp)
@@ -139,7 +135,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality
 
 
 def score(docs: DataFrame, model) -> DataFrame:
-    """doc_id, score of every row; a null text counts as empty. Other columns are not read."""
+    """doc_id, score of every row: null ids and repeated rows give a row each, an empty table none.
+
+    A null text counts as empty. Other columns are not read.
+    """
     short_batches(docs.sparkSession)
     slim = docs.select("doc_id", "text")
 

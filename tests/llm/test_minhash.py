@@ -23,18 +23,30 @@ def words(seed, n, vocabulary=2000):
     return [f"w{x}" for x in np.random.default_rng(seed).integers(0, vocabulary, n)]
 
 
+def hashed(raw):
+    return np.concatenate([np.zeros(0, np.uint64), *M.word_hashes(raw)])
+
+
 def test_hashes_are_of_words_not_places():
-    a, b = M.word_hashes(b"one two  three one"), M.word_hashes(b"\tthree one two")
+    a, b = hashed(b"one two  three one"), hashed(b"\tthree one two")
     assert a[0] == a[3] == b[1] and a[1] == b[2] and a[2] == b[0] and len(set(a)) == 3
-    assert len({int(x) for i in range(2000) for x in M.word_hashes(f"w{i}".encode())}) == 2000
+    assert len({int(x) for i in range(2000) for x in hashed(f"w{i}".encode())}) == 2000
 
 
 def test_distinct_shingles_get_distinct_hashes(monkeypatch):
     text = " ".join(words(1, 3000, 20))
     whole = np.concatenate(list(M.shingle_hashes(text)))
     assert len(set(whole.tolist())) == len(shingles(text))
-    monkeypatch.setattr(M, "PIECE", 101)
-    assert (np.concatenate(list(M.shingle_hashes(text))) == whole).all()
+    for step in (1, 2, 7, 101):
+        monkeypatch.setattr(M, "STEP", step)
+        assert (np.concatenate(list(M.shingle_hashes(text))) == whole).all()
+
+
+def test_words_longer_than_a_step():
+    word = "ab" * M.STEP
+    a, b = hashed(f"{word} x {word}".encode()), hashed(f" {word}\n{word}b x".encode())
+    assert len(a) == len(b) == 3 and a[0] == a[2] == b[0] and b[1] not in a and a[1] == b[2]
+    assert len(hashed(word.encode())) == 1 and len(hashed(word.encode()[: M.STEP] + b" ")) == 1
 
 
 @pytest.mark.parametrize("changed", [0, 3, 20, 80, 400])
