@@ -33,10 +33,14 @@ def ipv4s(s: Column, options: Options = Options()) -> Column:
     return F.array_distinct(F.array_except(out, F.array(*[F.lit(w) for w in options.ip_whitelist])) if options.ip_whitelist else out)
 
 
+def raw_ipv6s(s: Column) -> Column:
+    """Matches of the address pattern, which is tried only on texts with a sign of one."""
+    return F.when(F.rlike(F.coalesce(s, F.lit("")), F.lit(P.IPV6_SIGN)), found(s, P.IPV6)).otherwise(F.array().cast("array<string>"))
+
+
 def ipv6s(s: Column, options: Options = Options()) -> Column:
-    """Short forms of IPv6 addresses. Texts without :: or seven colons never reach Python."""
-    some = F.when(F.contains(F.coalesce(s, F.lit("")), F.lit(":")), found(s, P.IPV6)).otherwise(F.array().cast("array<string>"))
-    out = hosts.valid_ipv6s(some, options.ip_routable)
+    """Short forms of IPv6 addresses."""
+    out = hosts.valid_ipv6s(raw_ipv6s(s), options.ip_routable)
     return F.array_distinct(F.array_except(out, F.array(*[F.lit(w) for w in options.ip_whitelist])) if options.ip_whitelist else out)
 
 
@@ -46,7 +50,7 @@ def ips(s: Column, options: Options = Options()) -> Column:
 
 def domains_and_ips(s: Column) -> Column:
     """Hosts and IPs of a fragment, unvalidated, sorted."""
-    return F.array_sort(F.array_distinct(F.concat(found(s, P.HOST), found(s, P.IPV4), found(s, P.IPV6))))
+    return F.array_sort(F.array_distinct(F.concat(found(s, P.HOST), found(s, P.IPV4), raw_ipv6s(s))))
 
 
 def encoded_words(s: Column) -> Column:
@@ -74,17 +78,24 @@ def clean_url(url: Column, options: Options = Options()) -> Column:
     scheme = F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
     u = F.concat(F.lower(scheme), F.substring(u, F.length(scheme) + 1, F.length(u)))
     host = url_host(u)
-    valid = F.when(F.contains(host, F.lit(":")), F.when(hosts.is_global_ipv6(host), host) if options.ip_routable else host).otherwise(hosts.valid_host(host, options.ip_routable, options.domain_needs_tld, options.suffixes))
+    valid = F.when(F.contains(host, F.lit(":")), F.when(hosts.is_global_ipv6(F.split_part(host, F.lit("%"), F.lit(1))), host) if options.ip_routable else host).otherwise(hosts.valid_host(host, options.ip_routable, options.domain_needs_tld, options.suffixes))
     cut = F.regexp_extract(u, r"(?s)^([^', \")}\\]*)", 1)
     clean = F.when(F.contains(cut, F.lit("&")), text.unescape_entities(cut)).otherwise(cut)
     good = (F.contains(url, F.lit(".")) | F.contains(url, F.lit("["))) & (F.length(host) > 0) & valid.isNotNull() & ~F.endswith(cut, F.lit("://"))
     return F.when(good, clean)
 
 
+def links(html: Column) -> Column:
+    """Values of href in links and of src in images, without quotes."""
+    value = lambda t: F.when(F.startswith(F.lower(t), F.lit("a")), F.regexp_extract(t, P.attribute("href"), 1)).otherwise(F.regexp_extract(t, P.attribute("src"), 1))
+    return F.filter(F.transform(found(html, P.LINK_TAG), lambda t: F.regexp_replace(value(t), "^[\"']", "")), lambda v: F.length(v) > 0)
+
+
 def raw_urls(s: Column, options: Options = Options()) -> Column:
-    """Matches in text (glued ones split) and, if asked for, in href and src."""
+    """Runs of URL characters in text (glued ones split, ends trimmed) and, if asked for, links."""
     out = F.flatten(F.transform(found(s, P.URL_OR_WWW if options.www else P.URL), lambda u: F.split(u, P.GLUED_WWW if options.www else P.GLUED)))
-    return F.concat(out, found(s, P.HREF)) if options.href else out
+    out = F.transform(out, lambda u: F.regexp_replace(u, P.URL_END, "$1"))
+    return F.concat(out, links(s)) if options.href else out
 
 
 def urls(s: Column, options: Options = Options()) -> Column:

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import ipaddress
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, StringType
 
 # Public generic top-level domains, and country domains in other scripts. Any two Latin
 # letters count as a country's. Options.suffixes takes a full list instead.
@@ -47,55 +45,63 @@ def is_global_ipv4(host: Column) -> Column:
     return ~inside
 
 
-def is_global_ipv6(host: Column) -> Column:
-    """Global unicast (2000::/3) without the special-purpose blocks 2001::/23, 2001:db8::/32, 2002::/16 and 3fff::/20."""
-    group = lambda k: F.coalesce(F.conv(F.nullif(F.split_part(host, F.lit(":"), F.lit(k)), F.lit("")), 16, 10).try_cast("int"), F.lit(0))
-    a, b = group(1), group(2)
-    special = (a == 0x2002) | ((a == 0x2001) & ((b < 0x200) | (b == 0xDB8))) | ((a == 0x3FFF) & (b < 0x1000))
-    return a.between(0x2000, 0x3FFF) & ~special
-
-
-@F.pandas_udf(StringType())
-def _ipv6_text(host: pd.Series) -> pd.Series:
-    def one(h):
-        try:
-            return str(ipaddress.IPv6Address(h))
-        except ValueError:
-            return None
-
-    return host.map(one, na_action="ignore")
-
-
-@F.pandas_udf(BooleanType())
-def _ipv6_global(host: pd.Series) -> pd.Series:
-    def one(h):
-        try:
-            a = ipaddress.IPv6Address(h)
-        except ValueError:
-            return False
-        return a.is_global and not a.is_reserved
-
-    return host.map(one, na_action="ignore")
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def _ipv6_texts(hosts: pd.Series, routable: pd.Series) -> pd.Series:
-    def one(values, only_global):
-        out = []
-        for h in values if values is not None else ():
-            try:
-                a = ipaddress.IPv6Address(h.split("%")[0])
-            except ValueError:
-                continue
-            if not only_global or (a.is_global and not a.is_reserved):
-                out.append(str(a))
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def ipv6_groups(text: Column) -> Column:
+    """The eight numbers of an IPv6 address (RFC 4291, with dotted last 32 bits, too), or null."""
+    number = lambda g: F.conv(g, 16, 10).cast("int")
+    pair = lambda o, k: F.lower(F.hex(o[k].cast("int") * 256 + o[k + 1].cast("int")))
+    dotted = F.regexp_extract(text, r"([0-9.]+)$", 1)
+    octets = F.split(dotted, r"\.")
+    plain = F.when(F.rlike(dotted, F.lit(VALID_IPV4)), F.concat(F.left(text, F.length(text) - F.length(dotted)), pair(octets, 0), F.lit(":"), pair(octets, 2))).otherwise(text)
+
+    def spread(t: Column) -> Column:
+        some = lambda s: F.filter(F.split(s, ":"), lambda g: F.length(g) > 0)
+        left, right, cut = some(F.split_part(t, F.lit("::"), F.lit(1))), some(F.split_part(t, F.lit("::"), F.lit(2))), F.contains(t, F.lit("::"))
+        zeros = F.lit(8) - F.size(left) - F.size(right)
+        whole = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(zeros, F.lit(0))), right)
+        good = F.rlike(t, F.lit(r"^(?i)(?!.*::.*::)(?!:[^:])(?!.*:::)(?!.*[^:]:$)[0-9a-f:]+$")) & F.when(cut, zeros > 0).otherwise(zeros == 0) & ~F.exists(whole, lambda g: F.length(g) > 4)
+        return F.when(good, F.transform(whole, number))
+
+    return _let(plain, spread)
+
+
+def ipv6_short(groups: Column) -> Column:
+    """The text of RFC 5952: lower case, the first longest run of zeros (two or more) as ::; IPv4-mapped addresses end dotted."""
+
+    def short(t: Column) -> Column:
+        out = t
+        for n in range(2, 9):
+            run = rf"^(.*?)(?:^|:)0(?::0){{{n - 1}}}(?:$|:)(.*)$"
+            out = F.when(F.rlike(t, F.lit(run)), F.regexp_replace(t, run, "$1::$2")).otherwise(out)
         return out
 
-    return pd.Series([one(v, r) for v, r in zip(hosts, routable, strict=True)])
+    octets = [F.floor(groups[k] / 256) if high else groups[k] % 256 for k in (6, 7) for high in (True, False)]
+    mapped = (groups[5] == 0xFFFF) & (F.aggregate(F.slice(groups, 1, 5), F.lit(0), lambda a, g: a + g) == 0)
+    return F.when(mapped, F.concat(F.lit("::ffff:"), F.concat_ws(".", *octets))).otherwise(_let(F.array_join(F.transform(groups, lambda g: F.lower(F.hex(g))), ":"), short))
+
+
+def ipv6_global(groups: Column) -> Column:
+    """Neither private nor reserved (IANA's special-purpose registry): global unicast without its special blocks, multicast, site-local."""
+    a, b, c, tail = groups[0], groups[1], groups[2], F.aggregate(F.slice(groups, 3, 5), F.lit(0), lambda x, g: x + g)
+    # Global blocks inside 2001::/23.
+    inside = ((b == 1) & (tail == 0) & groups[7].isin(1, 2)) | (b == 3) | ((b == 4) & (c == 0x112)) | b.between(0x20, 0x3F)
+    special = (a == 0x2002) | ((a == 0x2001) & (((b < 0x200) & ~inside) | (b == 0xDB8))) | ((a == 0x3FFF) & (b < 0x1000))
+    return (a.between(0x2000, 0x3FFF) & ~special) | (a >= 0xFEC0)
+
+
+def is_global_ipv6(host: Column) -> Column:
+    return F.coalesce(_let(ipv6_groups(host), ipv6_global), F.lit(False))
 
 
 def has_suffix(host: Column, suffixes: tuple[str, ...] | None, known: bool) -> Column:
-    """Any non-empty last label; or one that is a known suffix, or below one."""
+    """Any non-empty last label; or, if it has to be known, one that a rule covers.
+
+    Rules as in public lists: a suffix, `*.` and a suffix for every label below it, or `!` and a host that is an exception to such a rule.
+    """
     last = F.lower(F.element_at(F.split(host, r"\."), -1))
     if not known:
         return F.length(last) > 0
@@ -103,7 +109,10 @@ def has_suffix(host: Column, suffixes: tuple[str, ...] | None, known: bool) -> C
         return F.rlike(last, F.lit("^[a-z]{2}$")) | last.isin(GENERIC)
     labels = F.split(F.lower(host), r"\.")
     tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    return F.arrays_overlap(tails, F.array(*[F.lit(s.lower()) for s in suffixes]))
+    texts = lambda rules: F.array(*[F.lit(x) for x in rules]).cast("array<string>")
+    plain = [x.lower().removeprefix("!") for x in suffixes if not x.startswith("*.")]
+    wild = [x.lower()[2:] for x in suffixes if x.startswith("*.")]
+    return F.arrays_overlap(tails, texts(plain)) | F.arrays_overlap(F.slice(tails, 2, F.greatest(F.size(tails) - 1, F.lit(0))), texts(wild))
 
 
 def valid_host(text: Column, routable: bool = False, known: bool = False, suffixes: tuple[str, ...] | None = None) -> Column:
@@ -119,9 +128,9 @@ def valid_host(text: Column, routable: bool = False, known: bool = False, suffix
 def valid_address(text: Column, routable: bool = False, known: bool = False, suffixes: tuple[str, ...] | None = None) -> Column:
     """As valid_host; hosts with a colon are read as IPv6 and written in their short form."""
     host = host_part(text)
-    six = F.when(F.contains(host, F.lit(":")), _ipv6_text(host))
-    ok = F.when(_ipv6_global(host), six) if routable else six
-    return F.when(six.isNotNull(), ok).otherwise(valid_host(text, routable, known, suffixes))
+    groups = F.when(F.contains(host, F.lit(":")), ipv6_groups(host))
+    six = _let(groups, lambda g: F.when(g.isNotNull() & (ipv6_global(g) if routable else F.lit(True)), ipv6_short(g)))
+    return F.when(groups.isNotNull(), six).otherwise(valid_host(text, routable, known, suffixes))
 
 
 def valid_ipv4s(found: Column, routable: bool = False) -> Column:
@@ -131,4 +140,6 @@ def valid_ipv4s(found: Column, routable: bool = False) -> Column:
 
 
 def valid_ipv6s(found: Column, routable: bool = False) -> Column:
-    return _ipv6_texts(found, F.lit(routable))
+    """Short forms of the valid IPv6 of an array."""
+    groups = F.filter(F.transform(found, ipv6_groups), lambda g: g.isNotNull())
+    return F.transform(F.filter(groups, ipv6_global) if routable else groups, ipv6_short)

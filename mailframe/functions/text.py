@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
 
-#: Nested parentheses are removed to this depth.
-DEPTH = 24
-
 
 def without_parentheses(text: Column) -> Column:
-    """Remove parenthesised parts, innermost first."""
-    return F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH)), text, lambda acc, _: F.when(F.contains(acc, F.lit("(")), F.regexp_replace(acc, P.INNERMOST, "")).otherwise(acc))
+    """Remove parenthesised parts, innermost first, to any depth."""
+    count = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
+    depth = F.least(count("("), count(")"))  # nested no deeper
+    gone = F.aggregate(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), text, lambda acc, _: F.when(F.contains(acc, F.lit("(")), F.regexp_replace(acc, P.INNERMOST, "")).otherwise(acc))
+    return F.when(depth > 0, gone).otherwise(text)
 
 
 def trim_edges(text: Column) -> Column:
@@ -52,8 +55,32 @@ def content_headers(headers: Column, bodies: Column) -> Column:
     return F.when(bodies == 1, F.map_filter(headers, lambda k, _: F.startswith(k, F.lit("content")))).otherwise(headers)
 
 
+def _entities() -> str:
+    """JSON of the standard's names (with their semicolons; some old ones also without), and of the numbers that stand for Windows-1252."""
+    numbers = {f"#{n}": bytes([n]).decode("cp1252") for n in range(128, 160) if n not in (129, 141, 143, 144, 157)}
+    return json.dumps(html5 | numbers)
+
+
 def unescape_entities(text: Column) -> Column:
-    """The entities that occur in URLs; the ampersand last, so that nothing is decoded twice."""
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&#x2F;", "/"), ("&#47;", "/"), ("&amp;", "&"), ("&#38;", "&"), ("&#x26;", "&")):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Character references, each decoded once. Old names count without a semicolon, too, and as the start of a longer word."""
+    table = F.from_json(F.lit(_entities()), "map<string,string>")
+
+    def char(number: Column) -> Column:
+        good = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        wide = F.decode(F.unhex(F.lpad(F.hex(F.when(good, number).otherwise(F.lit(0xFFFD))), 8, "0")), "UTF-32")
+        return F.coalesce(F.try_element_at(table, F.concat(F.lit("#"), number.cast("string"))), wide)
+
+    def decoded(part: Column) -> Column:
+        digits, hexed = F.regexp_extract(part, r"^#([0-9]{1,9}+);?", 1), F.regexp_extract(part, r"^#[xX]([0-9a-fA-F]{1,8}+);?", 1)
+        name = F.regexp_extract(part, r"^[A-Za-z][A-Za-z0-9]*+;?", 0)
+        starts = [F.left(name, F.lit(n)) for n in range(6, 1, -1)]
+        out = F.when(digits != "", F.concat(char(digits.cast("long")), F.regexp_replace(part, r"^#[0-9]{1,9}+;?", "")))
+        out = out.when(hexed != "", F.concat(char(F.conv(hexed, 16, 10).cast("long")), F.regexp_replace(part, r"^#[xX][0-9a-fA-F]{1,8}+;?", "")))
+        for n in [name, *starts]:
+            got = F.try_element_at(table, n)
+            out = out.when((n != "") & got.isNotNull(), F.concat(got, F.substring(part, F.length(n) + 1, F.length(part))))
+        return out.otherwise(F.concat(F.lit("&"), part))
+
+    parts = F.split(text, "&")
+    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), decoded)
+    return F.concat(parts[0], F.array_join(rest, ""))

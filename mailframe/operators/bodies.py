@@ -12,27 +12,27 @@ from ..functions import hashing, text
 from ..sources.mail import parts
 
 
-def bodies(messages: DataFrame) -> DataFrame:
-    """msg_id, part_path, text, content_header, content_type, hash, boundary of each body; body_no from 0.
+def bodies(messages: DataFrame, *keep: str) -> DataFrame:
+    """msg_id (and `keep` of the message), part_path, text, content_header, content_type, hash, boundary of each body; body_no from 0.
 
     Only one body: only the content headers are its own.
     """
-    found = messages.select("msg_id", F.posexplode(F.filter("parts", lambda p: p["is_body"])).alias("body_no", "part"), F.size(F.filter("parts", lambda p: p["is_body"])).alias("n"))
+    found = messages.select("msg_id", *keep, F.posexplode(F.filter("parts", lambda p: p["is_body"])).alias("body_no", "part"), F.size(F.filter("parts", lambda p: p["is_body"])).alias("n"))
     headers = text.headers_map(F.col("part.headers"), colons=True)
     return found.withColumn("all_headers", headers).select(
-        "msg_id", "body_no", "part.part_path", "part.text", text.content_headers(F.col("all_headers"), F.col("n")).alias("content_header"),
+        "msg_id", *keep, "body_no", "part.part_path", "part.text", text.content_headers(F.col("all_headers"), F.col("n")).alias("content_header"),
         text.media_type(F.col("all_headers")).alias("content_type"), hashing.digest(F.col("part.text"), "sha256").alias("hash"), "part.boundary",
     )
 
 
-def attachments(messages: DataFrame, options: Options = Options()) -> DataFrame:
-    """msg_id, part_path, filename, size, extension, hash, mime type by signature, headers; raw (base64) if asked for."""
-    p = parts(messages).filter("is_attachment")
+def attachments(messages: DataFrame, options: Options = Options(), *keep: str) -> DataFrame:
+    """msg_id (and `keep` of the message), part_path, filename, size, extension, hash, mime type by signature, headers; raw (base64) if asked for."""
+    p = parts(messages, *keep).filter("is_attachment")
     out = p.select(
-        "msg_id", "part_path", "filename", "size", text.file_extension(F.col("filename")).alias("extension"), hashing.digests(F.col("payload")).alias("hash"),
+        "msg_id", *keep, "part_path", "filename", "size", text.file_extension(F.col("filename")).alias("extension"), hashing.digests(F.col("payload")).alias("hash"),
         hashing.media_signature(F.col("payload")).alias("media"), text.headers_map(F.col("headers")).alias("content_header"), "payload",
     )
-    out = out.select("msg_id", "part_path", "filename", "size", "extension", "hash", "media.mime_type", "media.mime_type_short", "content_header", *(["payload"] if options.attachment_data else []))
+    out = out.select("msg_id", *keep, "part_path", "filename", "size", "extension", "hash", "media.mime_type", "media.mime_type_short", "content_header", *(["payload"] if options.attachment_data else []))
     return out.withColumn("raw", F.base64("payload")).drop("payload") if options.attachment_data else out
 
 

@@ -80,8 +80,8 @@ def fixed(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def hops(messages: DataFrame) -> DataFrame:
-    """msg_id, hop (0 is the newest) and the parsed fields of every Received line."""
-    lines = messages.select("msg_id", F.posexplode("received").alias("hop", "line")).withColumn("line", F.lower("line"))
+    """msg_id, hop (0 is the newest) and the parsed fields of every Received line; mails of equal bytes have one msg_id and count once."""
+    lines = messages.select("msg_id", "received").dropDuplicates(["msg_id"]).select("msg_id", F.posexplode("received").alias("hop", "line")).withColumn("line", F.lower("line"))
     return parse_hops(lines)
 
 
@@ -113,7 +113,7 @@ def hop_indicators(hop_table: DataFrame, options: Options = Options()) -> DataFr
     mail = extract.found(line, P.EMAIL_WITH_TLD if options.email_needs_tld else P.EMAIL)
     return hop_table.select(
         "*",
-        F.concat(hosts.valid_ipv6s(F.array_except(extract.found(line, P.IPV6), white), options.ip_routable), ip4).alias("received_ip"),
+        F.concat(hosts.valid_ipv6s(F.array_except(extract.raw_ipv6s(line), white), options.ip_routable), ip4).alias("received_ip"),
         F.filter(extract.found(line, P.RECEIVED_HOST), lambda d: ~hosts.is_ipv4(d)).alias("received_domain"),
         F.array_except(mail, own).alias("received_email"),
         F.array_except(own, F.array(*[F.lit(x) for x in options.for_whitelist]).cast("array<string>")).alias("received_foremail"),

@@ -69,20 +69,84 @@ def extract_routable_ipv4(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.explode(extract.ipv4s(F.col("text"), Options(ip_routable=True))).alias("ip"))
 
 
-@query(r"""
-SELECT DISTINCT page_id, lower(unnest(regexp_extract_all(
-  regexp_replace(url || ' ' || html, '([\s(/<>|@''=?#&])', '\1\1', 'g'), '(?:^|[\s(/<>|@''=])([a-zA-Z0-9-]+(?:\.[a-zA-Z0-9-]{2,})+)(?:$|[?\s#&/<>''])', 1))) AS domain
-FROM pages
-""")
+#: Hosts, found by another route: each delimiter is doubled, so that two hosts can share one; labels are counted by repetition.
+def _hosts_sql(text: str) -> str:
+    doubled = rf"regexp_replace({text}, '([\s()/<>|@''=?#&])', '\1\1', 'g')"
+    return rf"regexp_extract_all({doubled}, '(?:^|[\s(/<>|@''=])((?:[[:alnum:]]|-){{1,63}}(?:\.(?:[[:alnum:]]|-){{2,63}})+)(?:$|[\s)/<>?#&''])', 1)"
+
+
+@query(f"SELECT DISTINCT page_id, lower(unnest({_hosts_sql("url || ' ' || html")})) AS domain FROM pages")
 def extract_domains(spark, sf):
     return read(spark, sf, "pages").select("page_id", F.explode(extract.domains(F.concat_ws(" ", "url", "html"))).alias("domain"))
 
 
-@query(r"""SELECT page_id, unnest(regexp_extract_all(html, '(?i)<(?:a[\s/]+[^>]*?href|img[\s/]+[^>]*?src)[\s/]*=[\s/]*("[^"]+|''[^'']+|[^\s>]+)', 1)) AS href FROM pages""")
+_HOST = "lower(split_part(split_part(split_part(split_part(url, '://', 2), '/', 1), '?', 1), '#', 1))"
+
+
+@query(f"SELECT page_id, {_HOST} AS host, 'mx-' || page_id || '-' || {_HOST} AS inner_host FROM pages")
+def hosts_in_parentheses(spark, sf):
+    """As Received lines have them: name (other name) and (name)."""
+    p = read(spark, sf, "pages")
+    host = F.regexp_extract("url", "://([^/?#]+)", 1)
+    found = extract.domains(F.concat(F.lit("from ("), host, F.lit(")(MX-"), F.col("page_id"), F.lit("-"), host, F.lit(")by x.y")))
+    return p.select("page_id", found[0].alias("host"), found[1].alias("inner_host"))
+
+
+@query("""SELECT page_id, split_part(piece, '"', 1) AS href FROM (SELECT page_id, unnest(string_split(html, '<a href="')[2:]) AS piece FROM pages)""")
 def extract_hrefs(spark, sf):
-    from ..functions import patterns
+    return read(spark, sf, "pages").select("page_id", F.explode(extract.links(F.col("html"))).alias("href"))
+
+
+@query("""
+SELECT p_partkey, unnest(['/p/' || p_partkey || '?a=1>0', 'img/' || p_partkey || '.png', 'q' || p_partkey, 'open/' || p_partkey]) AS link FROM part
+""")
+def link_forms(spark, sf):
+    """Values with quotes of both kinds, without any, and with one that doesn't end; attributes of other names and tags of others."""
+    k = F.col("p_partkey").cast("string")
+    html = F.concat(
+        F.lit("<A class=x data-href='no' HREF = '/p/"), k, F.lit("?a=1>0'>t</a> <img alt=\"a > b\" src=\"img/"), k, F.lit(".png\"/> <abbr href=no> <a name=n href=q"), k, F.lit("> <link href=no> <a href=\"open/"), k, F.lit("></a>"),
+    )
+    return read(spark, sf, "part").select("p_partkey", F.explode(extract.links(html)).alias("link"))
+
+
+@query("""
+SELECT o_orderkey, unnest(['2001:db8::' || n, 'fe80:1::2:0:0:' || n, '::ffff:10.0.0.' || o_orderkey % 256, '1:2:3:4:5:6:7:' || n]) AS ip
+FROM (SELECT o_orderkey, format('{:x}', o_orderkey % 65535 + 1) AS n FROM orders)
+""")
+def ipv6_forms(spark, sf):
+    """Addresses in long forms, with zeros in two places, mapped from IPv4, and in full."""
+    o, n = read(spark, sf, "orders"), F.hex(F.col("o_orderkey") % 65535 + 1)
+    line = F.concat(
+        F.lit("a 2001:0DB8:0000:0000:0000:0000:0000:"), F.lpad(n, 4, "0"), F.lit(" [fe80:0001:0:0:2:0:0:"), n, F.lit("] b"), F.lit(" ::FFFF:10.0.0."), F.col("o_orderkey") % 256, F.lit(" 1:2:3:4:5:6:7:"), n, F.lit(" 12:30:45 c"),
+    )
+    return o.select("o_orderkey", F.explode(extract.ipv6s(line)).alias("ip"))
+
+
+@query("""
+SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN '2600:' || n || '::1' WHEN 1 THEN '2001:4:112::' || n WHEN 4 THEN 'ff02::' || n END AS ip
+FROM (SELECT o_orderkey, format('{:x}', o_orderkey % 65535 + 1) AS n FROM orders)
+""")
+def routable_ipv6(spark, sf):
+    """Global addresses, global blocks inside a special one, documentation, unique local and multicast addresses."""
+    o, n, k = read(spark, sf, "orders"), F.lower(F.hex(F.col("o_orderkey") % 65535 + 1)), F.col("o_orderkey") % 5
+    ip = F.when(k == 0, F.concat(F.lit("2600:"), n, F.lit("::1"))).when(k == 1, F.concat(F.lit("2001:4:112::"), n)).when(k == 2, F.concat(F.lit("2001:db8::"), n)).when(k == 3, F.concat(F.lit("fd00::"), n)).otherwise(F.concat(F.lit("ff02::"), n))
+    return o.select("o_orderkey", F.try_element_at(extract.ipv6s(ip, Options(ip_routable=True)), F.lit(1)).alias("ip"))
 
-    return read(spark, sf, "pages").select("page_id", F.explode(extract.found(F.col("html"), patterns.HREF)).alias("href"))
+
+@query("SELECT c_custkey, c_name || '<é>&amp;€ ' || c_custkey || '™ ©=1&nosuch; &' AS plain FROM customer")
+def unescape_entities(spark, sf):
+    c = read(spark, sf, "customer")
+    return c.select("c_custkey", text.unescape_entities(F.concat("c_name", F.lit("&lt;&eacute;&gt;&#38;amp;&#x20AC;&#32;"), "c_custkey", F.lit("&#153;&#32;&copy=1&nosuch; &"))).alias("plain"))
+
+
+@query("""
+SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN 'a.example.co.uk' WHEN 1 THEN 'b.any.ck' WHEN 2 THEN 'www.ck' WHEN 3 THEN 'any.ck' END AS host FROM customer
+""")
+def suffix_rules(spark, sf):
+    """A plain rule, one with a wildcard and an exception to it; a host above the wildcard and one under no rule."""
+    k = F.col("c_custkey") % 6
+    host = F.when(k == 0, "a.example.co.uk").when(k == 1, "b.any.ck").when(k == 2, "www.ck").when(k == 3, "any.ck").when(k == 4, "ck").otherwise("a.example.zz")
+    return read(spark, sf, "customer").select("c_custkey", hosts.valid_host(host, known=True, suffixes=("co.uk", "*.ck", "!www.ck")).alias("host"))
 
 
 @query("SELECT page_id, url FROM pages")
@@ -195,7 +259,7 @@ def media_signatures(spark, sf):
 @query("SELECT c_custkey, c_name || '  ' || c_mktsegment AS bare FROM customer")
 def strip_parentheses(spark, sf):
     c = read(spark, sf, "customer")
-    line = F.concat(F.lit("(a)"), "c_name", F.lit("(b (c (d)) e) (f)"), F.lit(" "), "c_mktsegment", F.lit("((()))"))
+    line = F.concat(F.lit("(a)"), "c_name", F.lit("(b (c (d)) e) (f)"), F.lit(" "), "c_mktsegment", F.lit("(" * 40 + "x" + ")" * 40))
     return c.select("c_custkey", text.without_parentheses(line).alias("bare"))
 
 
@@ -384,7 +448,7 @@ FROM pages
 """)
 def attachments_round_trip(spark, sf):
     m = mail.parse_mails(document_mails(spark, sf))
-    a = bodies.attachments(m, Options(attachment_data=True)).join(m.select("msg_id", "path"), "msg_id")
+    a = bodies.attachments(m, Options(attachment_data=True), "path")
     return a.select("path", "filename", "extension", "size", F.col("hash.md5").alias("md5"), F.col("hash.sha256").alias("sha256"), "raw")
 
 
@@ -394,7 +458,7 @@ UNION ALL SELECT CAST(page_id AS VARCHAR), 1, 'text/html', sha256(html), 'inner'
 """)
 def bodies_round_trip(spark, sf):
     m = mail.parse_mails(document_mails(spark, sf))
-    return bodies.bodies(m).join(m.select("msg_id", "path"), "msg_id").select("path", "body_no", "content_type", "hash", "boundary")
+    return bodies.bodies(m, "path").select("path", "body_no", "content_type", "hash", "boundary")
 
 
 @query("""
@@ -419,9 +483,34 @@ def reports_as_json(spark, sf):
     return j.select("path", get("$.header.subject").alias("subject"), get("$.header.date_iso").alias("date_iso"), get("$.header.to[1]").alias("second_to"), get("$.body[0].hash").alias("body_hash"))
 
 
-@query("SELECT 'example.com' AS sender_host, count(*) AS messages FROM conversations")
+@query("SELECT 'example.com' AS sender_host, 2 * count(*) AS messages, 10 * count(*) AS indicators FROM conversations")
 def sender_hosts(spark, sf):
-    return report.summary(mail.parse_mails(conversation_mails(spark, sf))).select("sender_host", "messages")
+    """Every mail is there twice, and has one address, two hosts, one URL and one IP."""
+    c, number = read(spark, sf, "conversations"), F.concat_ws("/", "conv_id", "turn")
+    body = F.lit("write to a@b.example or see http://www.cc.example/p from 10.0.0.1")
+    m = c.select(render.simple(body, F.lit("X <x@Example.com>"), F.lit("y@example.org"), number).alias("content"))
+    return report.summary(mail.parse_mails(m.unionAll(m)))
+
+
+@query("""
+SELECT p_partkey, 'grüße ' || p_partkey || ' = ok' AS body, 'iso-8859-1' AS charset, 'c' || p_partkey || '@x.example,d@y.example' AS cc, 'box@z.example' AS delivered_to, 'sales@w.example' AS sender,
+  CASE WHEN p_partkey % 2 = 0 THEN '<id' || p_partkey || '@v.example>' END AS message_id, 'one|two ' || p_partkey AS dotted, sha256('grüße ' || p_partkey || ' = ok') AS hash
+FROM part
+""")
+def header_repairs(spark, sf):
+    """Quoted-printable Latin-1 bodies, copies, a sender without a parsable address, bracketed message ids, dots in header names."""
+    p, k = read(spark, sf, "part"), F.col("p_partkey").cast("string")
+    raw = F.concat(
+        F.lit("From: write to, Sales@w.example\r\nCc: C"), k, F.lit("@x.example,\r\n d@y.example\r\nDelivered-To: Box@z.example\r\nMessage-ID: "), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("[id"), k, F.lit("@v.example]"))).otherwise("[none]"),
+        F.lit("\r\nX.Y: one\r\nx.y: two "), k, F.lit("\r\nContent-Type: text/plain; charset=ISO-8859-1\r\nContent-Transfer-Encoding: quoted-printable\r\n\r\ngr=FC=DFe =\r\n"), k, F.lit(" =3D ok"),
+    )
+    m = mail.parse_mails(p.select(F.encode(raw, "utf-8").alias("content"), k.alias("path")))
+    b = bodies.bodies(m, "path", "cc", "delivered_to", "from", "headers")
+    named = text.headers_map(F.col("headers"), colons=True)
+    return b.select(
+        F.col("path").cast("long").alias("p_partkey"), F.col("text").alias("body"), F.lit("iso-8859-1").alias("charset"), F.array_join("cc", ",").alias("cc"), F.array_join("delivered_to", ",").alias("delivered_to"), F.col("from").alias("sender"),
+        F.try_element_at(named, F.lit("message-id"))[0].alias("message_id"), F.array_join(named["x:y"], "|").alias("dotted"), "hash",
+    )
 
 
 @query("SELECT conv_id || '/' || turn AS path, 'Größe ' || conv_id || '/' || turn AS subject FROM conversations")
@@ -446,15 +535,12 @@ def known_suffixes(spark, sf):
     return read(spark, sf, "pages").select("page_id", check(F.concat(F.lit("me@example."), F.substring(host, -3, 3))).alias("known"), check(F.concat(host, F.lit(".jpg"))).alias("unknown"))
 
 
-_HOST_SQL = r"""regexp_extract_all(regexp_replace(text, '([\s(/<>|@''=?#&])', '\1\1', 'g'), '(?:^|[\s(/<>|@''=])([a-zA-Z0-9-]+(?:\.[a-zA-Z0-9-]{2,})+)(?:$|[?\s#&/<>''])', 1)"""
-
-
 @query(f"""
 WITH t AS (SELECT 'documents' AS origin, doc_id AS id, text FROM documents UNION ALL SELECT 'pages', page_id, url || ' ' || html FROM pages),
 f AS (
   SELECT DISTINCT origin, id, 'email' AS kind, lower(unnest(regexp_extract_all(text, '{_EMAIL_SQL}'))) AS value FROM t
   UNION ALL SELECT DISTINCT origin, id, 'ip', unnest(regexp_extract_all(text, '{_IP_SQL}')) FROM t
-  UNION ALL SELECT DISTINCT origin, id, 'domain', lower(unnest({_HOST_SQL})) FROM t)
+  UNION ALL SELECT DISTINCT origin, id, 'domain', lower(unnest({_hosts_sql('text')})) FROM t)
 SELECT origin, kind, count(*) AS found, count(DISTINCT value) AS distinct_values FROM f GROUP BY origin, kind
 """)
 def flagship(spark, sf):

@@ -27,7 +27,8 @@ def test_emails(spark):
 
 def test_domains(spark):
     s = "see www.Example.com and (sub.example.org) but not example.net. nor example.de:80; 'x-y.example.fr'\nlast.example.it"
-    assert one(spark, extract.domains, s) == ["www.example.com", "x-y.example.fr", "last.example.it"]
+    assert one(spark, extract.domains, s) == ["www.example.com", "sub.example.org", "x-y.example.fr", "last.example.it"]
+    assert one(spark, extract.domains, f"{'l' * 64}.example.com {'l' * 63}.example.org") == ["l" * 63 + ".example.org"]
     assert one(spark, extract.domains, "<sub.example.org>/a.bc#") == ["sub.example.org", "a.bc"]
 
 
@@ -81,11 +82,40 @@ def test_hosts(spark):
         assert one(spark, hosts.is_global_ipv6, ip) == (a.is_global and not a.is_reserved), ip
 
 
+def test_ipv6_against_the_standard_library(spark):
+    import ipaddress
+    import random
+
+    rng = random.Random(4)
+    cases = ["::", "::1", "1::", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:0:0:2:0:0:0:3", "1:0:0:2:0:0:3:4", "0:0:1:0:0:0:0:0", "::ffff:1.2.3.4", "::1.2.3.4", "64:ff9b::8.8.8.8", "1:2:3:4:5:6:1.2.3.4", "ABCD:00EF::0001",
+             ":::", "1::2::3", "1:2:3", "12345::", "1:2:3:4:5:6:7:8:9", ":1:2:3:4:5:6:7", "1:2:3:4:5:6:7:", "g::", "::300.1.1.1", "2001:1::1", "2001:1::2", "2001:1::4", "2001:3::9", "2001:4:112::1", "2001:4:113::1", "2001:20::1", "2001:3f::1", "2001:40::",
+             "2002::1", "3fff:1000::1", "fec0::1", "ff02::1", "fe80::1", "fc00::1", "100::1", "4000::1"]
+    for _ in range(150):
+        cases.append(":".join(f"{rng.choice([0, 0, 0, 1, rng.randrange(65536)]):x}" for _ in range(8)))
+
+    def parsed(t):
+        try:
+            return ipaddress.IPv6Address(t)
+        except ValueError:
+            return None
+
+    assert many(spark, lambda c: hosts.ipv6_short(hosts.ipv6_groups(c)), cases) == [a and str(a) for a in map(parsed, cases)]
+    assert many(spark, hosts.is_global_ipv6, cases) == [bool(a) and a.is_global and not a.is_reserved for a in map(parsed, cases)]
+
+
+def test_suffix_rules(spark):
+    known = lambda c: hosts.valid_host(c, known=True, suffixes=("uk", "co.uk", "*.ck", "!www.ck"))
+    assert many(spark, known, ["a.co.uk", "ck", "x.ck", "a.x.ck", "www.ck", "a.www.ck", "a.com"]) == ["a.co.uk", None, "x.ck", "a.x.ck", "www.ck", "a.www.ck", None]
+
+
 def test_text(spark):
-    assert many(spark, text.without_parentheses, ["a(b(c)d)e", "(x", "((a)", "plain"]) == ["ae", "(x", "(", "plain"]
+    assert many(spark, text.without_parentheses, ["a(b(c)d)e", "(x", "((a)", "plain", None, "(" * 500 + "x" + ")" * 500 + "y", "()" * 4000 + "z"]) == ["ae", "(x", "(", "plain", None, "y", "z"]
     assert many(spark, text.trim_edges, [" ; a;b ;\n", "", ";"]) == ["a;b", "", ""]
     assert many(spark, text.file_extension, ["a.TXT", "a.tar.gz", "noext", ".hidden", "dir.x/file"]) == ["txt", "gz", None, None, None]
-    assert many(spark, text.unescape_entities, ["a&amp;lt;b", "&lt;&gt;"]) == ["a&lt;b", "<>"]
+    import html
+
+    cases = ["a&amp;lt;b", "&lt;&gt;", "&amp;#38;", "&#38;amp;", "&copy=1&notit;&eacute", "&#x1F600;&#0;&#xD800;&#99999999;", "&#150;&#x96;", "&", "&&;", "&nosuch;", "plain", "&CounterClockwiseContourIntegral;&lt"]
+    assert many(spark, text.unescape_entities, cases) == [html.unescape(c) for c in cases]
 
 
 def test_encoded_words(spark):

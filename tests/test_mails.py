@@ -12,7 +12,7 @@ from mailframe.operators import bodies, indicators, received, report
 from mailframe.sources import mail, mime
 from mailframe.streaming import first_seen, indicator_stream, mail_stream
 
-HOP = "from mta1.example.com (mta1.example.com [192.0.2.7]) (using TLS (256/256 bits)) by MX.example.org (Postfix) with ESMTPS id 63 for <Info@example.org>; Fri, 26 Apr 2013 13:15:55 +0200 (CEST)"
+HOP = "from gate7.shop.example (gate7.shop.example [198.51.100.23]) (cipher X (128/128)) by IN.post.example (Exim) with SMTPSA id 9Zk for <Orders@post.example>; Thu, 5 Nov 2015 08:07:06 -0500 (EST)"
 
 
 def sample() -> bytes:
@@ -57,11 +57,11 @@ def test_attachments_and_bodies(spark):
 
 
 def test_report(spark):
-    options = Options(raw_body=True, entry_hosts=("mx.example",), for_whitelist=("nobody@example.org",))
+    options = Options(raw_body=True, entry_hosts=("in.post",), for_whitelist=("nobody@example.org",))
     r = json.loads(report.to_json(report.report(mail.parse_mails(table(spark, sample())), options)).first().json)
     h = r["header"]
-    assert h["received_ip"] == ["192.0.2.7"] and h["received_foremail"] == ["info@example.org"] and h["received_src"] == ["192.0.2.7", "mta1.example.com"] and "received_email" not in h
-    assert h["received_domain"] == ["mta1.example.com", "mx.example.org"] and h["received"][0]["with"] == "esmtps id 63" and h["date"].startswith("2013-04-26T11:15:55")
+    assert h["received_ip"] == ["198.51.100.23"] and h["received_foremail"] == ["orders@post.example"] and h["received_src"] == ["198.51.100.23", "gate7.shop.example"] and "received_email" not in h
+    assert h["received_domain"] == ["gate7.shop.example", "in.post.example"] and h["received"][0]["with"] == "smtpsa id 9zk" and h["date"].startswith("2013-04-26T11:15:55")
     assert r["body"][0]["uri"] == ["http://www.example.com/a?b=1"] and r["body"][0]["email"] == ["x@example.net"] and r["body"][0]["ip"] == ["8.8.4.4"] and "cc" in h["header"]
     assert [a["filename"] for a in r["attachment"]] == ["Réport.PDF", "part-000", "page.HTML", "part-000"]
     hidden = json.loads(report.to_json(report.report(mail.parse_mails(table(spark, sample(), b"")), Options())).filter("json like '%uri_hash%'").first().json)
@@ -69,12 +69,12 @@ def test_report(spark):
 
 
 @pytest.mark.parametrize(("line", "want"), [
-    (HOP, {"from": ["192.0.2.7", "mta1.example.com"], "by": ["mx.example.org"], "with": "esmtps id 63", "for": ["info@example.org"], "warning": None}),
-    ("by f1.i.example.com with local (envelope-from <q@example.com>) id 1k for someone@here-from-there.com; Tue, 24 Nov 2020 16:58:07 +0300", {"from": None, "by": None, "with": "local (envelope-from <q@example.com>) id 1k", "for": ["someone@here-from-there.com"]}),
+    (HOP, {"from": ["198.51.100.23", "gate7.shop.example"], "by": ["in.post.example"], "with": "smtpsa id 9zk", "for": ["orders@post.example"], "warning": None}),
+    ("by b7.sub.example.net with relay (sender <q@w.example>) id 77 for pay-from-card@bank.example; Sat, 6 Mar 2021 09:10:11 +0300", {"from": None, "by": ["b7.sub.example.net"], "for": ["pay-from-card@bank.example"], "warning": None}),
     ("for a@example.com from b.example.com by c.example.com ", {"for": ["a@example.com"], "from": ["b.example.com"], "by": ["c.example.com"], "date": None}),
     ("by c.example.com for a@example.com from b.example.com", {"for": ["a@example.com"], "from": ["b.example.com"]}),
     ("", {"warning": ["Nothing Parsable"], "from": None}), ("from a received: from b", {"warning": ["Merged Received headers"], "from": None}),
-    ("from)by x.example.net (SG) with ESMTP id B4uIDdqjUQfor <p@example.com>; Fri, 29 Jan 2021", {"warning": None}),
+    ("from(a)by(b) w.example.org with LMTP; Sun, 7 Mar 2021", {"warning": None}),
 ])
 def test_hops(spark, line, want):
     r = received.parse_hops(spark.createDataFrame([(line,)], "line string")).first()
@@ -169,3 +169,13 @@ def test_hop_dates_in_uncommon_formats(spark):
     lines = spark.createDataFrame([(f"from a.example.com by b.example.com with SMTP; {d}", d) for d in odd], "line string, d string")
     got = received.parse_hops(lines).filter("src is not null").selectExpr("d", "cast(cast(date as timestamp_ntz) as string) AS at").collect()
     assert {r.d: r.at for r in got} == odd
+
+
+def test_repeated_mails_count_once_in_their_path(spark):
+    raw = sample()
+    m = mail.parse_mails(table(spark, raw, raw, raw))
+    rolled = received.roll_up(received.hop_indicators(received.hops(m))).collect()
+    assert len(rolled) == 1 and len(rolled[0].received) == 1
+    assert [r.nth for r in received.entry_points(received.hops(m), Options(entry_hosts=("in.post",))).collect()] == [1]
+    one, three = report.summary(mail.parse_mails(table(spark, raw))).first(), report.summary(m).first()
+    assert (three.messages, three.indicators) == (3, 3 * one.indicators) and one.indicators > 5
