@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import PIECE, Scratch, short_batches, table
@@ -32,6 +32,8 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 CHUNK = 4096
 #: Groups that the rows of one node of the component search are dealt out to.
 SALTS = 64
+#: Rows of 50 bytes or so that one task can hold whatever their keys.
+FEW = 1 << 21
 #: Fingerprints in one bit-sliced batch of small buckets.
 LANES = 1 << 15
 
@@ -318,16 +320,19 @@ def _links(rows: DataFrame, radius: int) -> DataFrame:
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
-def with_least(rows: DataFrame, key: str, value: str, by: str) -> DataFrame:
+def with_least(rows: DataFrame, key: str, value: str, by: str, n: int | None = None) -> DataFrame:
     """rows with least: the least value among the rows of the same key.
 
-    A key's rows meet in SALTS groups (by a hash of another column), which then share their least values; so a
-    key that holds a third of all rows is no one task's work.
+    n: how many rows there are, if that is known. Up to FEW, one task can hold all of them, so a key's rows meet in one. Beyond, they
+    meet in SALTS groups (by a hash of another column), which then share their least values; so a key that holds a
+    third of all rows is no one task's work. Joins are by sorting, as broadcasts would pass through the driver in each round.
     """
+    if n is not None and n <= FEW:
+        return rows.withColumn("least", F.min(value).over(Window.partitionBy(key)))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
     parts = salted.groupBy(key, "salt").agg(F.min(value).alias("least"))
     whole = parts.groupBy(key).agg(F.min("least").alias("least"))
-    return salted.join(parts.select(key, "salt").join(whole, key), [key, "salt"]).drop("salt")
+    return salted.join(parts.select(key, "salt").join(whole.hint("merge"), key).hint("merge"), [key, "salt"]).drop("salt")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -343,9 +348,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     now = state(e)
     while now[0]:
-        both = with_least(e.union(e.select("v", "u")), "u", "v", "v")
+        both = with_least(e.union(e.select("v", "u")), "u", "v", "v", 2 * now[0])
         large = both.filter("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v")).filter("u <> v").distinct()
-        both = with_least(large, "u", "v", "v")
+        both = with_least(large, "u", "v", "v", 2 * now[0])  # no more than before
         small = both.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("least").alias("v")), F.struct("u", F.col("least").alias("v")))).alias("e"))
         new = scratch.save(small.select("e.u", "e.v").filter("u <> v").distinct())
         scratch.drop(e)
@@ -432,8 +437,8 @@ def _verified(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, scratch:
     salted = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
     parts = salted.groupBy("root", "salt").agg(F.count("*").alias("size"), F.sum("shingles").alias("total"))
     chunks = F.ceil(F.greatest(F.sum("size") / GROUP, F.sum("total") / GROUP_SHINGLES, F.lit(1.0))).cast("int")
-    sizes = parts.select("root", "salt").join(parts.groupBy("root").agg(chunks.alias("chunks")), "root")
-    known = salted.join(sizes, ["root", "salt"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).drop("salt", "shingles")
+    sizes = parts.select("root", "salt").join(parts.groupBy("root").agg(chunks.alias("chunks")).hint("merge"), "root")
+    known = salted.join(sizes.hint("merge"), ["root", "salt"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).drop("salt", "shingles")
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
     dealt = docs.join(known, "key").select("root", F.explode(pairs).alias("pair"), "node", "own", "fp", "text").select("root", "pair.i", "pair.j", "node", "own", "fp", "text")
     dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")

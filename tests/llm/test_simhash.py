@@ -94,7 +94,9 @@ def test_groups_match_brute_force(spark, monkeypatch):
     assert len(set(want.values())) < 120
 
 
-def test_chain_of_links_is_one_component(spark):
+@pytest.mark.parametrize("few", [0, 1 << 21])
+def test_chain_of_links_is_one_component(spark, monkeypatch, few):
+    monkeypatch.setattr(S, "FEW", few)
     from mailframe.llm.common import Scratch
 
     edges = spark.createDataFrame([(f"{i:03d}".encode(), f"{i + 1:03d}".encode()) for i in range(60)] + [(b"900", b"901")], "a binary, b binary")
