@@ -30,7 +30,7 @@ PLACES = 128
 BANDS, BAND_PLACES = 20, 6
 THRESHOLD = 0.8
 #: Rows of a range of ids, and ranges at most.
-RANGE, RANGES = 16_384, 20_000
+RANGE, RANGES = 4096, 20_000
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(0, 1 << 64, PLACES, dtype=np.uint64) | np.uint64(1)
 _B = _RNG.integers(0, 1 << 64, PLACES, dtype=np.uint64)
