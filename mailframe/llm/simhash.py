@@ -59,6 +59,8 @@ def pigeonhole(bits: int, radius: int, blocks: int) -> tuple[tuple[int, ...], ..
 
 #: The contract's: exact, as of 4 blocks at least 2 are equal within radius 2.
 EXACT = SimHash(words=3, bits=64, radius=2, keys=pigeonhole(64, 2, 4))
+
+
 @dataclass(frozen=True)
 class Near:
     """For cleaning a corpus: texts whose sets of five-word shingles have at least this Jaccard similarity.
@@ -77,7 +79,7 @@ class Near:
 
 
 CORPUS = Near()
-#: Texts, and shingles, of a group of candidates that are verified in one task; a larger group is dealt out in pairs of chunks.
+#: Texts, and shingles, of a group of candidates that are verified in one task; a larger group is dealt out to chunks.
 GROUP, GROUP_SHINGLES = 1024, 1 << 21
 
 
@@ -412,13 +414,19 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return shared >= similarity * (len(both) - shared)
 
 
-def _exact_links(fps: np.ndarray, own: np.ndarray, sets: list[np.ndarray], spec: Near) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the exact links among texts; texts of two chunks are only compared across."""
-    n, root, across = len(sets), np.arange(len(sets)), (own != own[0]).any()
-    words = fps.view(np.uint64)
-    for d in range(1, n):
-        near = np.bitwise_count(words[:-d] ^ words[d:]).sum(axis=1) <= spec.radius
-        near &= root[:-d] != root[d:]
+def _exact_links(fps: np.ndarray, own: np.ndarray, cluster: list, sets: list[np.ndarray], spec: Near) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the exact links among texts, those of one cluster (if not None) being linked already.
+
+    Texts of two chunks are only compared across.
+    """
+    first: dict[bytes, int] = {}
+    root = np.array([k if c is None else first.setdefault(c, k) for k, c in enumerate(cluster)])
+    words, across = fps.view(np.uint64), (own != own[0]).any()
+    for d in range(1, len(sets)):
+        if not root.any():
+            return
+        near = root[:-d] != root[d:]
+        near &= np.bitwise_count(words[:-d] ^ words[d:]).sum(axis=1) <= spec.radius
         if across:
             near &= own[:-d] != own[d:]
         for i in np.flatnonzero(near):
@@ -427,48 +435,107 @@ def _exact_links(fps: np.ndarray, own: np.ndarray, sets: list[np.ndarray], spec:
                 yield i, i + d
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, scratch: Scratch, spec: Near) -> DataFrame:
-    """Edges a, b of spanning forests of the exact links inside each group of candidates (node, root).
+def _central(fps: np.ndarray) -> tuple[int, int]:
+    """The fingerprint nearest to the majority of each bit, and its distance."""
+    bits = np.unpackbits(fps, axis=1)
+    far = (bits != (2 * bits.sum(axis=0, dtype=np.int64) > len(bits))).sum(axis=1)
+    return int(far.argmin()), int(far.min())
 
-    docs: key, text. Only the texts of candidates are read again, one row for each node.
+
+def _verify(dealt: DataFrame, spec: Near, leaders: bool = False) -> DataFrame:
+    """Edges a, b of the exact links of each group (root, i, j), its rows being node, cluster, own (chunk), fp, text.
+
+    leaders: also root, its most central node and that one's distance, for groups whose j is over 1.
     """
-    whole = candidates.union(candidates.select(F.col("root").alias("node"), "root").distinct())
-    members = scratch.save(whole.join(nodes.select("node", "fp", "shingles", F.col("least.key").alias("key")), "node"))
-    salted = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
-    parts = salted.groupBy("root", "salt").agg(F.count("*").alias("size"), F.sum("shingles").alias("total"))
-    chunks = F.ceil(F.greatest(F.sum("size") / GROUP, F.sum("total") / GROUP_SHINGLES, F.lit(1.0))).cast("int")
-    sizes = parts.select("root", "salt").join(parts.groupBy("root").agg(chunks.alias("chunks")).hint("merge"), "root")
-    known = salted.join(sizes.hint("merge"), ["root", "salt"]).withColumn("own", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")).drop("salt", "shingles")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
-    dealt = docs.join(known, "key").select("root", F.explode(pairs).alias("pair"), "node", "own", "fp", "text").select("root", "pair.i", "pair.j", "node", "own", "fp", "text")
-    dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, {}
 
-        def edges() -> list[tuple[bytes, bytes]]:
+        def edges() -> list[tuple]:
             if len(held) < 2:
                 return []
             names = list(held)
-            fps = np.frombuffer(b"".join(held[x][1] for x in names), np.uint8).reshape(len(names), -1)
-            found = _exact_links(fps, np.array([held[x][0] for x in names]), [held[x][2] for x in names], spec)
-            return [(names[i], names[j]) for i, j in found]
-
-        def batch(pairs) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
+            own, cluster, fp, sets = zip(*held.values(), strict=True)
+            fps = np.frombuffer(b"".join(fp), np.uint8).reshape(len(names), -1)
+            out = [(names[i], names[j], None) for i, j in _exact_links(fps, np.array(own), cluster, sets, spec)]
+            if leaders and group[2] > 1:
+                k, far = _central(fps)
+                out.append((group[0], names[k], far))
+            return out
+
+        def batch(rows: list[tuple]) -> pa.RecordBatch:
+            kinds = {"a": pa.binary(), "b": pa.binary(), "far": pa.int32()}
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds.values())], names=list(kinds))
 
         for b in batches:
             out = []
-            for root, i, j, node, own, fp, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for root, i, j, node, cluster, own, fp, text in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if (root, i, j) != group:
                     out += edges()
                     group, held = (root, i, j), {}
                 if node not in held:
-                    held[node] = (own, fp, distinct_shingles(text))
+                    held[node] = (own, cluster, fp, distinct_shingles(text))
             yield batch(out)
         yield batch(edges())
 
-    return dealt.mapInArrow(verify, "a binary, b binary")
+    ordered = dealt.select("root", "i", "j", "node", "cluster", "own", "fp", "text").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
+    return ordered.mapInArrow(run, "a binary, b binary, far int")
+
+
+def _chunks(size: Column, total: Column) -> Column:
+    """Chunks for so many texts with so many shingles in all."""
+    return F.ceil(F.greatest(size / GROUP, total / GROUP_SHINGLES, F.lit(1.0))).cast("int")
+
+
+def _dealt(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """rows with the columns of groups, by root; a root's rows meet in SALTS groups, so that a large one is no one task's work."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    keys = salted.groupBy("root", "salt").agg(F.lit(1)).select("root", "salt")
+    return salted.join(keys.join(groups.hint("merge"), "root").hint("merge"), ["root", "salt"]).drop("salt")
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, scratch: Scratch, spec: Near) -> DataFrame:
+    """node, root of the components of the exact links inside each group of candidates (node, root).
+
+    docs: key, text. Only the texts of candidates are read again, one row for each node.
+    A group is dealt out to chunks of GROUP texts, and each chunk is solved by itself. Groups of several chunks are then
+    dealt out anew, with the group's most central text in every chunk; so a group of copies of one text is one component
+    after two readings. What still isn't in the group's largest component (s of m texts) is compared with all of the
+    group, in ceil(s / GROUP) times ceil(m / GROUP) pairs of chunks: no pair is left out.
+    """
+    whole = candidates.union(candidates.select(F.col("root").alias("node"), "root").distinct())
+    members = scratch.save(whole.join(nodes.select("node", "fp", "shingles", F.col("least.key").alias("key")), "node"))
+    parts = members.groupBy("root").agg(_chunks(F.count("*"), F.sum("shingles")).alias("chunks"))
+    known = scratch.save(docs.join(_dealt(members, parts), "key").select("root", "chunks", "node", "shingles", "fp", "text"))
+    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    alone = known.select("root", own.alias("i"), F.col("chunks").alias("j"), "node", F.lit(None).cast("binary").alias("cluster"), own.alias("own"), "fp", "text")
+    found = scratch.save(_verify(alone, spec, leaders=True))
+    edges = found.filter("far IS NULL").select("a", "b")
+    leaders = found.filter("far IS NOT NULL").groupBy(F.col("a").alias("root")).agg(F.min_by("b", F.struct("far", "b")).alias("leader"))
+    large = known.filter("chunks > 1")
+    if not large.limit(1).count():
+        return components(edges, scratch)
+
+    again = F.pmod(F.xxhash64("node", F.lit("again")), F.col("chunks")).cast("int")
+    spread = F.when(F.col("node") == F.col("leader"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(again))
+    anew = _dealt(large, leaders).withColumn("i", F.explode(spread)).withColumns({"j": F.col("i"), "own": F.col("i"), "cluster": F.lit(None).cast("binary")})
+    roots = components(edges.union(_verify(anew, spec).select("a", "b")), scratch)
+
+    placed = scratch.save(large.drop("text").join(roots.withColumnRenamed("root", "cluster"), "node", "left").withColumn("cluster", F.coalesce("cluster", "node")).dropDuplicates(["node"]))
+    clusters = placed.groupBy("root", "cluster").agg(F.count("*").alias("size"), F.sum("shingles").alias("total"))
+    main = clusters.groupBy("root").agg(F.max_by("cluster", F.struct("size", "cluster")).alias("main"), F.count("*").alias("clusters")).filter("clusters > 1")
+    if not main.limit(1).count():
+        return roots
+    rest = F.col("cluster") != F.col("main")
+    side = lambda which: _chunks(F.coalesce(F.sum(F.when(which, F.col("size"))), F.lit(0)), F.coalesce(F.sum(F.when(which, F.col("total"))), F.lit(0)))
+    counts = clusters.join(main, "root").groupBy("root", "main").agg(side(rest).alias("few"), side(~rest).alias("many"))
+    # The chunks of the rest are 0 to few - 1, those of the largest component few to few + many - 1.
+    sided = _dealt(placed, counts).withColumn("own", F.when(rest, F.pmod(F.xxhash64("node"), F.col("few"))).otherwise(F.col("few") + F.pmod(F.xxhash64("node"), F.col("many"))).cast("int"))
+    others = F.when(rest, F.sequence(F.lit(0), F.col("few") + F.col("many") - 1)).otherwise(F.sequence(F.lit(0), F.col("few") - 1))
+    pairs = F.transform(others, lambda o: F.struct(F.least("own", o).alias("i"), F.greatest("own", o).alias("j")))
+    texts = large.select("node", "text")
+    across = sided.select("root", "node", "cluster", "own", "fp", pairs.alias("pairs")).join(texts, "node").withColumn("pair", F.explode("pairs")).withColumns({"i": F.col("pair.i"), "j": F.col("pair.j")})
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_verify(across, spec).select("a", "b")), scratch)
 
 
 def near_dedup(docs: DataFrame, spec: Near = CORPUS) -> DataFrame:
@@ -504,7 +571,7 @@ def near_dedup(docs: DataFrame, spec: Near = CORPUS) -> DataFrame:
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("least")
     nodes = scratch.save(signed.groupBy("node").agg(least, F.first("fp").alias("fp"), F.first("shingles").alias("shingles"), F.first("buckets").alias("buckets")))
     candidates = components(_links(nodes.select("node", "fp", F.explode("buckets").alias("bucket")), spec.radius), scratch)
-    roots = components(_verified(slim.select("key", "text"), nodes, candidates, scratch, spec), scratch)
+    roots = _verified(slim.select("key", "text"), nodes, candidates, scratch, spec)
     rooted = nodes.select("node", "least").join(roots, "node", "left").select("least", F.coalesce("root", "node").alias("root"))
     keep = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("key"), F.lit(True).alias("kept"))
     # Only keys of rows that go, or are there more than once, meet the texts: few, so Spark can broadcast them where their size allows.

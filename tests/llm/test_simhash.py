@@ -153,3 +153,33 @@ def test_near_dedup_decides_by_row(spark):
     rows = [(1, a), (1, b), (1, b), (2, b), (None, c), (None, c), (None, a)]
     got = S.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.text) for r in got) == [(0, c), (1, a), (1, b)]
+
+
+@pytest.mark.parametrize("group", [2, 5, 1024])
+def test_near_dedup_of_large_groups_matches_brute_force(spark, monkeypatch, group):
+    """A star (copies alike to their origin only), a chain and a loose group, dealt out to chunks of few texts."""
+    monkeypatch.setattr(S, "GROUP", group)
+    rng = np.random.default_rng(group)
+    origin = [f"w{x}" for x in rng.integers(0, 1 << 40, 204)]
+    texts = []
+    for k in range(14):  # each has another stretch of 15 words replaced: about 0.83 to the origin, 0.7 to each other
+        texts.append([*origin[: 12 * k], *[f"s{k}-{x}" for x in range(15)], *origin[12 * k + 15 :]])
+    texts.append(origin)
+    chain = [f"c{x}" for x in range(400)]
+    texts += [chain[12 * k : 12 * k + 204] for k in range(12)]  # only neighbours are alike
+    for k in range(12):
+        t = [f"l{x}" for x in range(204)]
+        for p in rng.choice(204, int(rng.integers(1, 6)), replace=False):
+            t[p] = f"new{k}"
+        texts.append(t)
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i in range(len(texts)):
+            for j in range(i):
+                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    got = {r.doc_id for r in S.near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert root[:27] == [0] * 15 + [15] * 12
+    assert got == set(root)
