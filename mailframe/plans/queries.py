@@ -419,6 +419,30 @@ def hop_delays(spark, sf):
 # ---- whole mails -----------------------------------------------------------------------------
 
 
+@query("SELECT CAST(c_custkey AS VARCHAR) AS path, 'iso-8859-1' AS charset, 'quoted-printable' AS encoding, 'Grüße an ' || c_name || ' = ÿ' AS body FROM customer")
+def quoted_latin1_bodies(spark, sf):
+    """Quoted-printable with a soft line break, in an eight-bit charset."""
+    head = f"From: a@example.com{render.END}Content-Type: text/plain; charset=ISO-8859-1{render.END}Content-Transfer-Encoding: Quoted-Printable{render.END}{render.END}"
+    c = read(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("path"), F.encode(F.concat(F.lit(f"{head}Gr=FC=DFe an =\r\n"), "c_name", F.lit(" =3D =FF")), "utf-8").alias("content"))
+    part = F.col("parts")[0]
+    return mail.parse_mails(c).select("path", part["charset"].alias("charset"), part["encoding"].alias("encoding"), part["text"].alias("body"))
+
+
+@query("""
+SELECT CAST(o_orderkey AS VARCHAR) AS path, CASE WHEN o_orderkey % 4 = 0 THEN '1970-01-01T00:00:00+00:00' ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+00:00' END AS date_iso,
+  'c' || o_custkey || '@example.org,d@example.net' AS copies, CASE WHEN o_orderkey % 3 > 0 THEN 'box' || o_orderkey || '@example.com' END AS delivered
+FROM orders
+""")
+def date_and_copy_headers(spark, sf):
+    """Date, Cc with a display name that holds a comma, Delivered-To; every fourth mail has no date, every third no Delivered-To."""
+    o, end = read(spark, sf, "orders"), F.lit(render.END)
+    date = F.when(F.col("o_orderkey") % 4 > 0, F.concat(F.lit("Date: "), render.rfc_date(F.col("o_orderdate")), end)).otherwise("")
+    delivered = F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit("Delivered-To: BOX"), "o_orderkey", F.lit("@example.com"), end)).otherwise("")
+    content = F.concat(F.lit("From: a@example.com"), end, date, delivered, F.lit('Cc: "Last, First" <C'), "o_custkey", F.lit("@Example.org>,\r\n d@example.net"), end, end, F.lit("text"))
+    m = mail.parse_mails(o.select(F.col("o_orderkey").cast("string").alias("path"), F.encode(content, "utf-8").alias("content")))
+    return m.select("path", "date_iso", F.array_join("cc", ",").alias("copies"), F.array_join("delivered_to", ",").alias("delivered"))
+
+
 def conversation_mails(spark, sf) -> DataFrame:
     return render.mails_of_conversations(read(spark, sf, "conversations")).withColumn("path", F.concat_ws("/", "conv_id", "turn"))
 
@@ -493,7 +517,7 @@ def sender_hosts(spark, sf):
 
 
 @query("""
-SELECT p_partkey, 'grüße ' || p_partkey || ' = ok' AS body, 'iso-8859-1' AS charset, 'c' || p_partkey || '@x.example,d@y.example' AS cc, 'box@z.example' AS delivered_to, 'sales@w.example' AS sender,
+SELECT p_partkey, 'grüße ' || p_partkey || ' = ok' AS body, 'c' || p_partkey || '@x.example,d@y.example' AS cc, 'box@z.example' AS delivered_to, 'sales@w.example' AS sender,
   CASE WHEN p_partkey % 2 = 0 THEN '<id' || p_partkey || '@v.example>' END AS message_id, 'one|two ' || p_partkey AS dotted, sha256('grüße ' || p_partkey || ' = ok') AS hash
 FROM part
 """)
@@ -508,7 +532,7 @@ def header_repairs(spark, sf):
     b = bodies.bodies(m, "path", "cc", "delivered_to", "from", "headers")
     named = text.headers_map(F.col("headers"), colons=True)
     return b.select(
-        F.col("path").cast("long").alias("p_partkey"), F.col("text").alias("body"), F.lit("iso-8859-1").alias("charset"), F.array_join("cc", ",").alias("cc"), F.array_join("delivered_to", ",").alias("delivered_to"), F.col("from").alias("sender"),
+        F.col("path").cast("long").alias("p_partkey"), F.col("text").alias("body"), F.array_join("cc", ",").alias("cc"), F.array_join("delivered_to", ",").alias("delivered_to"), F.col("from").alias("sender"),
         F.try_element_at(named, F.lit("message-id"))[0].alias("message_id"), F.array_join(named["x:y"], "|").alias("dotted"), "hash",
     )
 
