@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from .decoding import parse_date
 
@@ -51,6 +51,12 @@ def robust_iso(text: Column) -> Column:
     return F.when(F.length(F.coalesce(text, F.lit(""))) == 0, F.lit(EPOCH)).otherwise(_robust_iso(text))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def robust_isos(texts: pd.Series) -> pd.Series:
+    """ISO texts of the dates in an array; null arrays and null dates stay null."""
+    return texts.map(lambda a: None if a is None else [None if t is None else parse_date(t).isoformat() for t in a])
+
+
 def robust(text: Column) -> Column:
     """Timestamp: common formats in the JVM, only the rest in Python."""
     fast = parse(text)

@@ -2,64 +2,91 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Options
-from ..functions import extract, text
-from . import bodies as B
-from . import indicators as I
+from ..functions import extract, hashing, text
 from . import received as R
 
 JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ssXXX", "ignoreNullFields": "true"}
 
 
-def report(messages: DataFrame, options: Options = Options()) -> DataFrame:
-    """msg_id, header, body, attachment. Everything but the parse itself is built of the parsed tables.
+def report(messages: DataFrame, options: Options = Options(), *keep: str) -> DataFrame:
+    """msg_id (and `keep` of the message), header, body, attachment of every mail, in its own row: nothing is shuffled.
 
-    The three lists are gathered by msg_id and joined on it; mails of equal bytes share one report.
+    Mails of equal bytes have a report each. A mail that couldn't be parsed has empty lists. Payloads, and texts unless they are
+    asked for, are dropped before the path is parsed.
     """
-    messages = messages.dropDuplicates(["msg_id"])
-    hop_table = R.hops(messages)
+    lists = {"_body": _bodies(F.col("parts")), "_attachment": _attachments(F.col("parts"), options)}
+    df = R.fixed(messages, **lists).drop("parts")
+    df = R.fixed(df, _body=_found(F.col("_body"), options))
+    df = R.fixed(df, _body=_shown(F.col("_body"), options))
+    df = R.with_path(df, "_hops")
     if options.entry_hosts:
-        entries = R.entry_points(hop_table, options)
-        warned = entries.filter("nth > 1").groupBy("msg_id", "hop").agg(F.max_by("warning", "nth").alias("more"))
-        hop_table = hop_table.join(warned, ["msg_id", "hop"], "left").withColumn("warning", F.coalesce("more", "warning")).drop("more")
-        sources = R.received_src(entries)
-    rolled = R.roll_up(R.hop_indicators(hop_table, options))
-    full = I.body_indicators(B.bodies(messages), "text", options)
-    if options.raw_body:
-        full = full.withColumnRenamed("text", "content")
-        names = [*I.KINDS, "content"]
-    else:
-        full = I.hashed_indicators(full).drop("text")
-        names = [f"{k}_hash" for k in ("uri", "email", "domain", "ip")]
-    arrays = {k: F.when(F.size(k) > 0, F.col(k)) for k in names if k != "content"}
-    by_message = _gather(full.withColumns(arrays), ["body_no", *names, "content_header", "content_type", "hash", "boundary"], "body_no", "body")
-    out = messages.join(rolled.withColumnRenamed("received", "hops"), "msg_id", "left").join(by_message, "msg_id", "left")
-    if options.entry_hosts:
-        out = out.join(sources, "msg_id", "left")
-    if options.attachments:
-        a = B.attachments(messages, options)
-        out = out.join(_gather(a, [c for c in a.columns if c not in ("msg_id", "part_path")], "part_path", "attachment"), "msg_id", "left")
+        df = R.with_entries(df, options, "_hops")
+    df = R.with_path_indicators(df, options, "_hops")
     header = F.struct(
-        "subject", "defect", "from", "to", "cc", "delivered_to", F.to_timestamp("date_iso").alias("date"), "date_iso", F.coalesce("hops", F.array().cast(rolled.schema["received"].dataType)).alias("received"),
+        "subject", "defect", "from", "to", "cc", "delivered_to", F.to_timestamp("date_iso").alias("date"), "date_iso", F.col("_hops").alias("received"),
         "received_email", "received_domain", "received_ip", "received_foremail", *(["received_src"] if options.entry_hosts else []), text.headers_map(F.col("headers")).alias("header"),
     )
-    return out.select("msg_id", header.alias("header"), F.coalesce("body", F.array().cast(by_message.schema["body"].dataType)).alias("body"), *(["attachment"] if options.attachments else []))
+    attachment = [F.when(F.size("_attachment") > 0, F.col("_attachment")).alias("attachment")] if options.attachments else []
+    return df.select("msg_id", *keep, header.alias("header"), F.col("_body").alias("body"), *attachment)
+
+
+def _of(parts: Column, flag: str, made) -> Column:
+    """Structs of the parts with a flag, in order; empty if there are no parts at all."""
+    some = F.transform(F.filter(parts, lambda p: p[flag]), made)
+    return F.coalesce(some, F.filter(F.transform(F.array(F.get(parts, F.lit(0))), made), lambda _: F.lit(False)))
+
+
+def _bodies(parts: Column) -> Column:
+    return _of(parts, "is_body", lambda p: F.struct(p["text"].alias("text"), p["boundary"].alias("boundary"), text.headers_map(p["headers"], colons=True).alias("headers")))
+
+
+def _found(bodies: Column, options: Options) -> Column:
+    """Bodies with the lists of their indicators."""
+    n = F.size(bodies)
+
+    def one(b: Column) -> Column:
+        lists = {"urls": extract.urls, "email": extract.emails, "domain": extract.domains, "ip": extract.ips}
+        return F.struct(
+            *[f(b["text"], options).alias(k) for k, f in lists.items()], b["text"].alias("content"), text.content_headers(b["headers"], n).alias("content_header"),
+            text.media_type(b["headers"]).alias("content_type"), hashing.digest(b["text"], "sha256").alias("hash"), b["boundary"].alias("boundary"),
+        )
+
+    return F.transform(bodies, one)
+
+
+def _shown(bodies: Column, options: Options) -> Column:
+    """Bodies as reports have them: lists null where empty, as they are or hashed."""
+    own = ("content_header", "content_type", "hash", "boundary")
+
+    def one(b: Column) -> Column:
+        lists = {"uri": F.filter(b["urls"], extract.has_scheme), "uri_noscheme": F.filter(b["urls"], lambda u: ~extract.has_scheme(u)), "email": b["email"], "domain": b["domain"], "ip": b["ip"]}
+        if not options.raw_body:
+            lists = {f"{k}_hash": F.array_distinct(hashing.hashed(v)) for k, v in lists.items() if k != "uri_noscheme"}
+        return F.struct(*[F.when(F.size(v) > 0, v).alias(k) for k, v in lists.items()], *([b["content"].alias("content")] if options.raw_body else []), *[b[k].alias(k) for k in own])
+
+    return F.transform(bodies, one)
+
 
+def _attachments(parts: Column, options: Options) -> Column:
+    def one(p: Column) -> Column:
+        media = hashing.media_signature(p["payload"])
+        raw = [F.base64(p["payload"]).alias("raw")] if options.attachment_data else []
+        return F.struct(
+            p["filename"].alias("filename"), p["size"].alias("size"), text.file_extension(p["filename"]).alias("extension"), hashing.digests(p["payload"]).alias("hash"),
+            media["mime_type"].alias("mime_type"), media["mime_type_short"].alias("mime_type_short"), text.headers_map(p["headers"]).alias("content_header"), *raw,
+        )
 
-def _gather(df: DataFrame, columns: list[str], order: str, name: str) -> DataFrame:
-    """msg_id and the rows' structs in order; maps can't be sorted, so order stands first and is looked up."""
-    pairs = F.collect_list(F.struct(F.col(order).alias("_at"), F.struct(*columns).alias("v")))
-    ordered = F.array_sort(pairs, lambda a, b: F.when(a["_at"] < b["_at"], -1).when(a["_at"] > b["_at"], 1).otherwise(0))
-    return df.groupBy("msg_id").agg(F.transform(ordered, lambda x: x["v"]).alias(name))
+    return _of(parts, "is_attachment", one)
 
 
 def to_json(reports: DataFrame, pretty: bool = False) -> DataFrame:
-    """msg_id, json."""
-    fields = [c for c in reports.columns if c != "msg_id"]
-    return reports.select("msg_id", F.to_json(F.struct(*fields), {**JSON, "pretty": str(pretty).lower()}).alias("json"))
+    """msg_id (and what the reports keep), json."""
+    fields = [c for c in ("header", "body", "attachment") if c in reports.columns]
+    return reports.select(*[c for c in reports.columns if c not in fields], F.to_json(F.struct(*fields), {**JSON, "pretty": str(pretty).lower()}).alias("json"))
 
 
 def summary(messages: DataFrame) -> DataFrame:

@@ -502,7 +502,7 @@ SELECT conv_id || '/' || turn AS path, 'Größe ' || conv_id || '/' || turn AS s
 """)
 def reports_as_json(spark, sf):
     m = mail.parse_mails(conversation_mails(spark, sf))
-    j = report.to_json(report.report(m, Options(raw_body=True))).join(m.select("msg_id", "path"), "msg_id")
+    j = report.to_json(report.report(m, Options(raw_body=True), "path"))
     get = lambda p: F.get_json_object("json", p)
     return j.select("path", get("$.header.subject").alias("subject"), get("$.header.date_iso").alias("date_iso"), get("$.header.to[1]").alias("second_to"), get("$.body[0].hash").alias("body_hash"))
 

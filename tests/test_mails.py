@@ -116,7 +116,7 @@ def test_parse_never_fails(spark):
         broken.append(bytes(b[: rng.randrange(len(b))]))
     m = mail.parse_mails(table(spark, *broken, None))
     assert m.count() == 211 and m.filter("error is not null").count() == 0
-    assert report.to_json(report.report(m, Options(raw_body=True))).count() == m.select("msg_id").distinct().count()
+    assert report.to_json(report.report(m, Options(raw_body=True))).filter("json is not null").count() == 211
 
 
 def test_sources(spark, tmp_path):
@@ -179,3 +179,47 @@ def test_repeated_mails_count_once_in_their_path(spark):
     assert [r.nth for r in received.entry_points(received.hops(m), Options(entry_hosts=("in.post",))).collect()] == [1]
     one, three = report.summary(mail.parse_mails(table(spark, raw))).first(), report.summary(m).first()
     assert (three.messages, three.indicators) == (3, 3 * one.indicators) and one.indicators > 5
+
+
+LINES = [
+    HOP, "from a.example.com by IN.post.example with SMTP; 2 Jan 06 10:00:00 +0100", "by in.post.example and other.in.post.example for <x@y.example>; Sat, 6 Mar 2021 09:10:11 +0300", "from a received: from b", "nothing",
+    "from q@w.example by c.example.org ([2001:db8::7]) for a@b.example", "from ten.example ([10.0.0.7]) by in.post.example",
+]
+
+
+def test_reports_in_the_row_hold_what_the_tables_hold(spark):
+    head = lambda lines: b"".join(b"Received: %s\r\n" % x.encode() for x in lines)
+    raws = [head(LINES) + sample(), head(LINES[2:]) + b"\r\nno text", head(LINES[4:5]) + b"Subject: s\r\n\r\nx", b"Subject: none\r\n\r\nwww.example.com", b""]
+    m = mail.parse_mails(table(spark, *raws))
+    options = Options(raw_body=True, entry_hosts=("in.post", "other"), ip_whitelist=("10.0.0.7",), for_whitelist=("x@y.example",))
+    got = {r.msg_id: r for r in report.report(m, options, "path").collect()}
+    assert len(got) == 5
+    hop_table = received.hops(m)
+    entries = received.entry_points(hop_table, options)
+    source = {r.msg_id: r.received_src for r in received.received_src(entries).collect()}
+    twice = {(r.msg_id, r.hop): r.warning for r in entries.filter("nth > 1").collect()}
+    rolled = {r.msg_id: r for r in received.roll_up(received.hop_indicators(hop_table, options)).collect()}
+    assert len(twice) >= 4 and len(rolled) == 3 and len(source) == 2
+    for key, r in got.items():
+        want = rolled.get(key)
+        for k in received.KINDS:
+            assert r.header[k] == (want and want[k])
+        assert r.header.received_src == source.get(key)
+        assert [h.asDict() for h in r.header.received] == [h.asDict() | {"warning": twice.get((key, h.hop), h.warning)} for h in (want.received if want else ())]
+    texts = {}
+    for b in indicators.body_indicators(bodies.bodies(m), "text", options).orderBy("msg_id", "body_no").collect():
+        texts.setdefault(b.msg_id, []).append(b)
+    for key, r in got.items():
+        names = ("uri", "uri_noscheme", "email", "domain", "ip", "content_header", "content_type", "hash", "boundary")
+        assert [[x[k] or None for k in names] for x in r.body] == [[x[k] or None for k in names] for x in texts.get(key, [])]
+    kept = {(a.msg_id, a.filename, a.hash) for a in bodies.attachments(m).collect()}
+    assert {(key, a.filename, a.hash) for key, r in got.items() for a in r.attachment or ()} == kept and len(kept) == 4
+
+
+def test_reports_are_not_shuffled(spark):
+    raw = sample()
+    out = report.to_json(report.report(mail.parse_mails(table(spark, raw, raw)), Options(entry_hosts=("in.post",), attachment_data=True)))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("MapInArrow") == 1
+    one, other = out.collect()
+    assert one == other and json.loads(one.json)["attachment"][1]["raw"] == "AAE="
