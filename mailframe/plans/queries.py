@@ -537,6 +537,21 @@ def header_repairs(spark, sf):
     )
 
 
+@query("""
+SELECT p_partkey, CASE p_partkey % 5 WHEN 1 THEN 'From can''t be parsed' WHEN 2 THEN 'Message-ID repaired' WHEN 3 THEN 'Date can''t be read' WHEN 4 THEN 'From can''t be parsed|Date can''t be read' END AS warnings
+FROM part
+""")
+def header_warnings(spark, sf):
+    """Sound headers, a sender without an address, a bracketed message id, a date that is none, and two of them."""
+    p, k = read(spark, sf, "part"), F.col("p_partkey")
+    raw = F.concat(
+        F.lit("From: "), F.when((k % 5).isin(1, 4), "the shop").otherwise("a@example.com"), F.lit("\r\nMessage-ID: "), F.when(k % 5 == 2, "[x@example.com]").otherwise("<x@example.com>"),
+        F.lit("\r\nDate: "), F.when((k % 5).isin(3, 4), "unknown").otherwise("Fri, 26 Apr 2013 13:15:55 +0200"), F.lit("\r\n\r\ntext"),
+    )
+    m = mail.parse_mails(p.select(F.encode(raw, "utf-8").alias("content"), k.cast("string").alias("path")))
+    return m.select(F.col("path").cast("long").alias("p_partkey"), F.array_join("warnings", "|").alias("warnings"))
+
+
 @query("SELECT conv_id || '/' || turn AS path, 'Größe ' || conv_id || '/' || turn AS subject FROM conversations")
 def bad_start(spark, sf):
     """Junk lines before the headers."""

@@ -16,5 +16,5 @@ PART = _struct(
 )
 MESSAGE = _struct(
     path=TEXT, msg_id=TEXT, subject=TEXT, defect=TEXTS, from_=TEXT, to=TEXTS, cc=TEXTS, delivered_to=TEXTS, date_iso=TEXT, received=TEXTS,
-    headers=PAIRS, parts=ArrayType(PART), error=TEXT,
+    headers=PAIRS, parts=ArrayType(PART), warnings=TEXTS, error=TEXT,
 )

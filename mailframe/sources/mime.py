@@ -18,6 +18,7 @@ from ..functions import decoding
 
 _ADDRESS = re.compile(r"[a-zA-Z0-9.!#$%&'*+,\-/=?^_`{|}~]+@[a-zA-Z0-9-]+(?:\.[a-zA-Z0-9-]+)*")
 _WITH_TLD = re.compile(_ADDRESS.pattern[:-2] + ")+")
+BAD_FROM, BAD_ID, BAD_DATE = "From can't be parsed", "Message-ID repaired", "Date can't be read"
 _WRITE = email.policy.compat32.clone(max_line_length=0)
 
 
@@ -66,20 +67,29 @@ def header_pairs(msg: Message) -> list[dict]:
     return out
 
 
-def sender(msg: Message) -> str | None:
-    """Address of From; if it can't be parsed the first one in the text, else the text."""
+def sender(msg: Message) -> tuple[str | None, bool]:
+    """Address of From, and whether it could be parsed; if not, the first one in the text, else the text."""
     raw = next(iter(values(msg, "from")), "")
     text = decoding.decode_header(raw).strip().lower()
     if not text:
-        return None
+        return None, True
     for candidate in (decoding.unfold(raw).lower(), text):
         if "\udc80" <= max(candidate, default="") <= "\udcff":
             continue
         name, address = email.utils.parseaddr(candidate)
         if (name, address) != ("", "") and "@" in address:
-            return address
+            return address, True
     found = _ADDRESS.search(text)
-    return found[0] if found else text
+    return (found[0] if found else text), False
+
+
+def warnings(msg: Message, parsed_sender: bool) -> list[str] | None:
+    """What had to be guessed or given up in the headers; null if nothing."""
+    texts = {name: [decoding.decode_header(v).strip() for v in values(msg, name)] for name in ("message-id", "date")}
+    out = [BAD_FROM] if not parsed_sender else []
+    out += [BAD_ID for v in texts["message-id"] if fixed_message_id(v) != v]
+    out += [BAD_DATE for v in texts["date"] if decoding.parse_date(v) is decoding.DEFAULT_DATE]
+    return list(dict.fromkeys(out)) or None
 
 
 def addresses(msg: Message, name: str, need_tld: bool = False) -> list[str]:
@@ -156,10 +166,11 @@ def parse(raw: bytes, options: config.Options = config.Options(), path: str | No
         msg = email.message_from_bytes(drop_bad_start(raw) if options.skip_bad_start else raw, policy=email.policy.compat32)
         subject = next(iter(values(msg, "subject")), "")
         date = next(iter(values(msg, "date")), None)
+        address, parsed = sender(msg)
         row |= {
             "subject": decoding.decode_header(subject).strip(),
             "defect": [str(d) or type(d).__name__ for d in msg.defects] or None,
-            "from": sender(msg),
+            "from": address,
             "to": addresses(msg, "to", options.email_needs_tld),
             "cc": addresses(msg, "cc", options.email_needs_tld) or None,
             "delivered_to": addresses(msg, "delivered-to", options.email_needs_tld) or None,
@@ -167,6 +178,7 @@ def parse(raw: bytes, options: config.Options = config.Options(), path: str | No
             "received": [" ".join(decoding.decode_header(v).split()) for v in values(msg, "received")],
             "headers": header_pairs(msg),
             "parts": part_rows(msg, options),
+            "warnings": warnings(msg, parsed),
         }
     except Exception as error:
         row["error"] = f"{type(error).__name__}: {error}"[:500]

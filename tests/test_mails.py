@@ -99,6 +99,8 @@ def test_header_repairs():
     assert p(b"From: none at all")["from"] == "none at all" and p(b"X: y")["from"] is None and p(b"X: y")["date_iso"].startswith("1970-01-01T00:00:00")
     assert p(b"To: a@localhost, b@c.example")["to"] == ["a@localhost", "b@c.example"] and mime.parse(b"To: a@localhost, b@c.example\n\n", Options(email_needs_tld=True))["to"] == ["b@c.example"]
     assert p(b"Subject: gr\xfc\xdfe")["subject"] == "grüße"
+    assert p(b"From: none at all\r\nMessage-ID: [nothing]\r\nDate: ?")["warnings"] == [mime.BAD_FROM, mime.BAD_ID, mime.BAD_DATE] and p(b"X: y")["warnings"] is None
+    assert p(b"Date: Thu, 1 Jan 1970 00:00:00 +0000")["warnings"] is None
 
 
 def test_bad_start():
@@ -223,3 +225,17 @@ def test_reports_are_not_shuffled(spark):
     assert "Exchange" not in plan and plan.count("MapInArrow") == 1
     one, other = out.collect()
     assert one == other and json.loads(one.json)["attachment"][1]["raw"] == "AAE="
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import mailreport
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one").write_bytes(sample())
+    mailreport.main(["-i", str(tmp_path / "in"), "-d", "-r", "-b", "in.post, other", "-w", "8.8.4.4"])
+    (line,) = [x for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
+    r = json.loads(line)
+    assert r["header"]["received_src"] and r["attachment"][1]["raw"] == "AAE=" and r["body"][0]["email"] == ["x@example.net"] and "ip" not in r["body"][0]
+    mailreport.main(["-i", str(tmp_path / "in" / "one"), "-o", str(tmp_path / "out")])
+    hidden = json.loads(spark.read.text(str(tmp_path / "out")).first().value)
+    assert "email_hash" in hidden["body"][0] and "email" not in hidden["body"][0] and "raw" not in hidden["attachment"][0]
