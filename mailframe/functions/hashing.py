@@ -42,6 +42,20 @@ SIGNATURES = (
     ("D0CF11E0A1B11AE1", "Composite Document File V2 Document", "application/x-ole-storage"),
     ("4D5A", "PE executable", "application/x-dosexec"),
     ("7F454C46", "ELF executable", "application/x-executable"),
+    ("7B5C727466", "Rich Text Format data", "text/rtf"),
+    ("3C3F786D6C20", "XML document", "text/xml"),
+    ("25215053", "PostScript document", "application/postscript"),
+    ("49492A00", "TIFF image data", "image/tiff"),
+    ("4D4D002A", "TIFF image data", "image/tiff"),
+    ("425A68", "bzip2 compressed data", "application/x-bzip2"),
+    ("FD377A585A00", "XZ compressed data", "application/x-xz"),
+    ("28B52FFD", "Zstandard compressed data", "application/zstd"),
+    ("4D534346", "Microsoft Cabinet archive data", "application/vnd.ms-cab-compressed"),
+    ("494433", "MPEG audio with ID3", "audio/mpeg"),
+    ("4F676753", "Ogg data", "application/ogg"),
+    ("664C6143", "FLAC audio", "audio/flac"),
+    ("53514C697465", "SQLite database", "application/vnd.sqlite3"),
+    ("0061736D", "WebAssembly binary", "application/wasm"),
 )
 
 
