@@ -3,7 +3,7 @@
 Pages of a host are generated from a few templates. Each page becomes a tree of slots: block elements, where siblings
 of one label and build that follow each other, or are many, share one (a list of records). The slot trees of a host
 are aligned by simple tree matching: the greatest order-preserving matching of equal labels, computed top down over
-the children of matched nodes. Aligned trees are merged; a tree that matches no template of the host well begins a
+the children of matched nodes, however many. Aligned trees are merged; a tree that matches no template of the host well begins a
 new one. Each template node gathers, over all pages, how much text it has, how much of that is in links, and how many
 pages have the same text there.
 
@@ -52,9 +52,6 @@ DEEPEST = 60
 MANY = 4
 #: Children of a node, and nodes of a template, that have slots of their own.
 CHILDREN, NODES = 128, 4096
-#: Sizes of two nodes' children, and of two trees, multiplied, up to which all their matchings are compared; beyond it each child is
-#: matched with the next one of its label.
-WIDE, WORK = 1 << 12, 1 << 22
 #: Share of the pages that have the same text in a constant node, and pages (copies counted once) that it takes.
 SAME, LEAST = 0.8, 3
 LINKED = 0.6
@@ -127,48 +124,114 @@ class Node:
 def same_slot(a: Node, b: Node) -> bool:
     if a.label == b.label:
         return True
+    if not (a.label.endswith("*") or b.label.endswith("*")):
+        return False
     x, y = a.label.split("."), b.label.split(".")
     return "*" in (x[-1], y[-1]) and (x[0] == y[0] or "*" in (x[0], y[0]))
 
 
+def form(node: Node, memo: dict) -> int:
+    """A number of a node's build in memo: nodes of one form match alike."""
+    found = memo.get(id(node))
+    if found is None:
+        key = (node.label, *[form(c, memo) for c in node.children])
+        found = memo[id(node)] = memo.setdefault(key, len(memo))
+        memo[found, found] = (1 + sum(memo[c, c][0] for c in key[1:]), [(k, k) for k in range(len(key) - 1)])
+    return found
+
+
+def matched(a: Node, b: Node, memo: dict) -> int:
+    """Nodes in the greatest matching of two trees whose roots are like slots, whatever their sizes."""
+    if not (a.children and b.children):
+        return 1
+    key = form(a, memo), form(b, memo)
+    if key not in memo:
+        start, _, columns, shares = _like(a.children, b.children, memo)
+        own = {id(x): x for x in shares}
+        total = 1 + sum(memo[memo[id(x)], memo[id(x)]][0] for x in a.children[:start])
+        if all(max(x) == 1 for x in own.values()):  # each bit a column, 0 where the row grows (Hyyro)
+            bits = {k: sum(1 << n for n, y in enumerate(x) if y) for k, x in own.items()}
+            full = rest = (1 << len(columns)) - 1
+            for x in shares:
+                u = rest & bits[id(x)]
+                rest = ((rest + u) | (rest - u)) & full
+            total += len(columns) - rest.bit_count()
+        else:
+            row = [0] * (len(columns) + 1)
+            for x in shares:
+                row = _row(row, x)
+            total += row[-1]
+        memo[key] = total, None
+    return memo[key][0]
+
+
 def tree_matching(a: Node, b: Node, memo: dict | None = None) -> tuple[int, list[tuple[int, int]]]:
-    """Nodes in the greatest matching of two trees, and which of their children match.
+    """Nodes in the greatest matching of two trees, and which of their children match; whatever their sizes.
 
+    memo: the forms of nodes as they were when first met, and the matchings of forms.
     W[i][j] = max(W[i-1][j], W[i][j-1], W[i-1][j-1] + matching of the i-th and the j-th child).
     """
-    if memo is None:
-        memo = {"work": a.size() * b.size()}
-    key = (id(a), id(b))
-    if key in memo:
-        return memo[key]
     if not same_slot(a, b):
         return 0, []
-    m, n = len(a.children), len(b.children)
-    if m * n > WIDE or memo["work"] > WORK:
-        memo[key] = _greedy(a, b, memo)
-        return memo[key]
-    w = [[0] * (n + 1) for _ in range(m + 1)]
-    for i in range(1, m + 1):
-        x, row, last = a.children[i - 1], w[i], w[i - 1]
-        for j in range(1, n + 1):
-            y = b.children[j - 1]
-            own = tree_matching(x, y, memo)[0] if same_slot(x, y) else 0
-            row[j] = max(last[j], row[j - 1], last[j - 1] + own)
-    pairs, i, j = [], m, n
-    while i and j:
-        if w[i][j] == w[i - 1][j]:
-            i -= 1
-        elif w[i][j] == w[i][j - 1]:
-            j -= 1
-        else:
-            pairs.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-    memo[key] = (w[m][n] + 1, pairs[::-1])
+    if not (a.children and b.children):
+        return 1, []
+    memo = {} if memo is None else memo
+    key = form(a, memo), form(b, memo)
+    if memo.get(key, (0, None))[1] is None:
+        start, rows, columns, shares = _like(a.children, b.children, memo)
+        w = [[0] * (len(columns) + 1)]
+        for x in shares:
+            w.append(_row(w[-1], x))
+        i, j, pairs = len(rows), len(columns), []
+        while i and j:
+            if w[i][j] == w[i - 1][j]:
+                i -= 1
+            elif w[i][j] == w[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((rows[i], columns[j]))
+        memo[key] = matched(a, b, memo), [(k, k) for k in range(start)] + pairs[::-1]
     return memo[key]
 
 
+def _row(last: list[int], share: list[int]) -> list[int]:
+    row, most = [0], 0
+    for k, own in enumerate(share):
+        here = last[k] + own if own else 0
+        if last[k + 1] > most:
+            most = last[k + 1]
+        if here > most:
+            most = here
+        row.append(most)
+    return row
+
+
+def _like(xs: list[Node], ys: list[Node], memo: dict) -> tuple[int, list[int], list[int], list[list[int]]]:
+    """How many children at the start have equal forms, so that they match each other; of the others those that are like
+    one on the other side: their places in xs and in ys, and their matchings, a list for each of xs."""
+    start = 0
+    while start < min(len(xs), len(ys)) and memo[id(xs[start])] == memo[id(ys[start])]:
+        start += 1
+    places: dict[str, list[int]] = {}
+    for j in range(start, len(ys)):
+        places.setdefault(ys[j].label, []).append(j)
+    first = {x.label: x for x in reversed(xs[start:])}
+    like = {name: [j for own in places.values() if same_slot(x, ys[own[0]]) for j in own] for name, x in first.items()}
+    rows = [i for i in range(start, len(xs)) if like[xs[i].label]]
+    columns = sorted({j for own in like.values() for j in own})
+    column = {j: k for k, j in enumerate(columns)}
+    shares: dict[int, list[int]] = {}  # by form
+    for i in rows:
+        if memo[id(xs[i])] not in shares:
+            own = shares[memo[id(xs[i])]] = [0] * len(columns)
+            for j in like[xs[i].label]:
+                own[column[j]] = matched(xs[i], ys[j], memo)
+    return start, rows, columns, [shares[memo[id(xs[i])]] for i in rows]
+
+
 def _greedy(a: Node, b: Node, memo: dict) -> tuple[int, list[tuple[int, int]]]:
-    """A matching in which each child of b takes the next child of a with its label."""
+    """A matching in which each child of b takes the next child of a with its label: a bound that tests compare with, no step of the operator."""
     places: dict[str, list[int]] = {}
     for i in reversed(range(len(a.children))):
         places.setdefault(a.children[i].label, []).append(i)
@@ -278,7 +341,7 @@ class Host:
         if found and (found[2] >= ALIKE or len(self.templates) >= TEMPLATES):
             return align(found[0], tree, found[1], grow=True)
         self.templates.append(Node(tree.label))
-        return align(self.templates[-1], tree, {"work": 0}, grow=True)
+        return align(self.templates[-1], tree, {}, grow=True)
 
     def dump(self) -> str:
         for t in self.templates:
@@ -291,9 +354,8 @@ def best(templates: list[Node], tree: Node) -> tuple[Node, dict, float] | None:
     """The template that matches a tree best, the matchings, and its share of both."""
     out, size = None, tree.size()
     for t in templates:
-        own = t.size()
-        memo: dict = {"work": own * size}
-        share = 2 * tree_matching(t, tree, memo)[0] / (own + size)
+        memo: dict = {}
+        share = 2 * (matched(t, tree, memo) if same_slot(t, tree) else 0) / (t.size() + size)
         if out is None or share > out[2]:
             out = (t, memo, share)
     return out
@@ -404,7 +466,7 @@ class Wrapper:
         build = tree.build()
         got = self.builds.get(build)
         if got is None:
-            got = list(tree.walk()) if tree is self.template else align(self.template, tree, {"work": self.template.size() * tree.size()}, grow=False)
+            got = list(tree.walk()) if tree is self.template else align(self.template, tree, {}, grow=False)
             if len(self.builds) < BUILDS:
                 self.builds[build] = got
         return got

@@ -77,6 +77,20 @@ def test_tree_matching_against_brute_force():
         assert W._greedy(a, b, {"work": 0})[0] <= most
 
 
+def test_tree_matching_of_any_size():
+    leaves = lambda names: [W.Node(x) for x in names]
+    many = [f"t{k}" for k in range(80)]
+    assert W.tree_matching(W.Node("r", children=leaves([*many, "z"])), W.Node("r", children=leaves(["z", *many])))[0] == 81  # 81 x 81 children
+    rng = np.random.default_rng(6)
+    for _ in range(20):  # beside a like part of 3,000 nodes, of two forms, nothing changes
+        a, b = random_tree(rng), random_tree(rng)
+        most, pairs = W.tree_matching(a, b)
+        for x, name in ((a, "y"), (b, "z")):
+            x.children.append(W.Node("big", children=[W.Node(f"k{k}", children=leaves(many[:59] + [name])) for k in range(50)]))
+        assert W.tree_matching(a, b) == (most + 1 + 50 * 60, [*pairs, (len(a.children) - 1, len(b.children) - 1)])
+        assert W.matched(a, b, {}) == most + 1 + 50 * 60
+
+
 def test_slots():
     t = tree("<body>" + "<h2>a</h2><p>b</p>" * 5 + "<div><p>x</p></div><div>y</div><div>z</div>")
     assert [c.label for c in t.children[0].children] == ["h2", "p", "div", "div"]  # lists of records; two builds of div
