@@ -1,4 +1,4 @@
-"""Digests, sizes and file signatures."""
+"""Digests, sizes, Base64 and file signatures."""
 
 from __future__ import annotations
 
@@ -24,6 +24,11 @@ def hashed(values: Column) -> Column:
     return F.transform(values, lambda v: F.sha2(F.lower(v), 256))
 
 
+def base64(payload: Column) -> Column:
+    """Base64 on one line (the JVM's encoder breaks it after 76 characters)."""
+    return F.replace(F.base64(payload), F.lit("\r\n"), F.lit(""))
+
+
 def size(payload: Column) -> Column:
     return F.octet_length(payload).cast("long")
 

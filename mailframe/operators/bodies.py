@@ -33,7 +33,7 @@ def attachments(messages: DataFrame, options: Options = Options(), *keep: str) -
         hashing.media_signature(F.col("payload")).alias("media"), text.headers_map(F.col("headers")).alias("content_header"), "payload",
     )
     out = out.select("msg_id", *keep, "part_path", "filename", "size", "extension", "hash", "media.mime_type", "media.mime_type_short", "content_header", *(["payload"] if options.attachment_data else []))
-    return out.withColumn("raw", F.base64("payload")).drop("payload") if options.attachment_data else out
+    return out.withColumn("raw", hashing.base64(F.col("payload"))).drop("payload") if options.attachment_data else out
 
 
 def safe_name(name: str, path: list[int]) -> str:

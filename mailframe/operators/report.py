@@ -74,7 +74,7 @@ def _shown(bodies: Column, options: Options) -> Column:
 def _attachments(parts: Column, options: Options) -> Column:
     def one(p: Column) -> Column:
         media = hashing.media_signature(p["payload"])
-        raw = [F.base64(p["payload"]).alias("raw")] if options.attachment_data else []
+        raw = [hashing.base64(p["payload"]).alias("raw")] if options.attachment_data else []
         return F.struct(
             p["filename"].alias("filename"), p["size"].alias("size"), text.file_extension(p["filename"]).alias("extension"), hashing.digests(p["payload"]).alias("hash"),
             media["mime_type"].alias("mime_type"), media["mime_type_short"].alias("mime_type_short"), text.headers_map(p["headers"]).alias("content_header"), *raw,

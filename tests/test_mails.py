@@ -1,5 +1,6 @@
 """Whole mails: parsing, the path, reports, sources and streams."""
 
+import base64
 import json
 import random
 from email.message import EmailMessage
@@ -239,3 +240,11 @@ def test_command_line(spark, tmp_path, capsys):
     mailreport.main(["-i", str(tmp_path / "in" / "one"), "-o", str(tmp_path / "out")])
     hidden = json.loads(spark.read.text(str(tmp_path / "out")).first().value)
     assert "email_hash" in hidden["body"][0] and "email" not in hidden["body"][0] and "raw" not in hidden["attachment"][0]
+
+
+def test_data_of_attachments_is_on_one_line(spark):
+    data = bytes(range(200))
+    raw = table(spark, b"From: a@x.example\r\nContent-Type: application/zip\r\nContent-Disposition: attachment\r\nContent-Transfer-Encoding: base64\r\n\r\n" + base64.encodebytes(data))
+    options, want = Options(attachment_data=True), base64.b64encode(data).decode()
+    assert bodies.attachments(mail.parse_mails(raw), options).first().raw == want
+    assert report.report(mail.parse_mails(raw), options).first().attachment[0].raw == want
