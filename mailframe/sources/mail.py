@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..config import Options
 from ..schema import MESSAGE
@@ -24,22 +25,24 @@ def files(spark: SparkSession, path: str, glob: str = "*.eml", recursive: bool =
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(path)
 
 
-def parse_mails(df: DataFrame, options: Options = Options(), content: str = "content", path: str | None = "path") -> DataFrame:
+def parse_mails(df: DataFrame, options: Options = Options(), content: str = "content", path: str | None = "path", fields: tuple[str, ...] | None = None) -> DataFrame:
     """Rows of schema.MESSAGE from a column of bytes; null bytes are an empty mail.
 
+    fields: columns to have, if not all; the others aren't worked out.
     Payloads of attachments stay in the rows; columns that aren't asked for are dropped by the JVM right after the parse.
     """
-    arrow = to_arrow_schema(MESSAGE)
+    schema = MESSAGE if fields is None else StructType([f for f in MESSAGE if f.name in fields])
+    arrow = to_arrow_schema(schema)
     slim = df.select(F.col(content).alias("content"), (F.col(path) if path and path in df.columns else F.lit(None)).cast("string").alias("path"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, len(b), BATCH):
                 part = b.slice(k, BATCH)
-                rows = [mime.parse(c or b"", options, p) for c, p in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
+                rows = [mime.parse(c or b"", options, p, fields) for c, p in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return slim.mapInArrow(run, MESSAGE)
+    return slim.mapInArrow(run, schema)
 
 
 def parts(messages: DataFrame, *keep: str) -> DataFrame:

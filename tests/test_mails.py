@@ -1,6 +1,7 @@
 """Whole mails: parsing, the path, reports, sources and streams."""
 
 import base64
+import email.utils
 import json
 import random
 from email.message import EmailMessage
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mailframe.config import Options
+from mailframe.functions import decoding
 from mailframe.operators import bodies, indicators, received, report
 from mailframe.sources import mail, mime
 from mailframe.streaming import first_seen, indicator_stream, mail_stream
@@ -248,3 +250,37 @@ def test_data_of_attachments_is_on_one_line(spark):
     options, want = Options(attachment_data=True), base64.b64encode(data).decode()
     assert bodies.attachments(mail.parse_mails(raw), options).first().raw == want
     assert report.report(mail.parse_mails(raw), options).first().attachment[0].raw == want
+
+
+def test_chosen_fields_are_the_same_and_the_others_not_worked_out(monkeypatch):
+    raw = sample()
+    whole = mime.parse(raw)
+    for fields in (("warnings",), ("date_iso", "cc", "delivered_to"), ("msg_id", "from", "headers", "parts")):
+        assert mime.parse(raw, fields=fields) == {"path": None} | {k: whole[k] for k in fields}
+    for odd in (b"From: a@b.example\r\nno colon\r\nCc: c@d.example\r\n\r\nx", b"Cc:\r\n c@d.example\r\n\r\nx", b"Cc: c@d.example", b": x\nCc: c@d.example\n\n"):
+        assert mime.parse(odd, fields=("cc", "headers")).items() <= mime.parse(odd).items()
+    monkeypatch.setattr(mime, "part_rows", None)
+    assert mime.parse(raw, fields=("cc",))["cc"] == ["c@example.org"]
+
+
+def test_a_date_that_is_none_is_searched_once(monkeypatch):
+    asked = []
+    monkeypatch.setattr(decoding, "fuzzy", type("Fuzzy", (), {"parse": staticmethod(lambda *a, **k: asked.append(a) or None)}))
+    row = mime.parse(b"From: a@b.example\r\nDate: never mind 77\r\n\r\nx")
+    assert row["warnings"] == [mime.BAD_DATE] and row["date_iso"] == "1970-01-01T00:00:00+00:00" and len(asked) == 1
+
+
+@pytest.mark.parametrize("text", ["Fri, 26 Apr 2013 13:15:55 +0200", "1 feb 1000 00:00:00 -2359", "31 Dec 9999 23:59:59 -0100", "29 Feb 2023 01:02:03 +0000", "1 Jan 2001 24:00:00 +0100", "1 Jan 2001 10:00:00 -0000", "1 Jan 2001 10:00:00 +2400"])
+def test_plain_dates_as_the_library_reads_them(text):
+    try:
+        want = email.utils.parsedate_to_datetime(text).isoformat()
+    except ValueError:
+        want = None
+    got = decoding.plain_date(text)
+    assert got is None or got.isoformat() == want
+
+
+@pytest.mark.parametrize("text", ['"Last, First" <C1@Example.org>, d@example.net', "a@b.example", "A B <a@b.example> ,c@d.example"])
+def test_plain_address_lists_as_the_library_reads_them(text):
+    assert mime.plain_addresses(text) == [a for _, a in email.utils.getaddresses([text])]
+    assert mime.plain_addresses(text + ",") is None and mime.plain_addresses("(x) " + text) is None

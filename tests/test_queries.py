@@ -36,3 +36,9 @@ def test_entry(spark):
     rows = __spark_entry__.entry(spark).collect()
     assert {r.origin for r in rows} == {"documents", "pages"}
     assert set(Q.QUERIES) <= set(__spark_entry__.queries()) and set(Q.ORACLE) <= set(__spark_entry__.oracle_sql())
+
+
+@pytest.mark.parametrize("name", ["header_warnings"])
+def test_short_rows_are_dealt_out(spark, name):
+    """A table that is one split is no single task."""
+    assert Q.QUERIES[name](spark, str(SMALL)).rdd.getNumPartitions() >= 24
