@@ -431,9 +431,10 @@ def hop_delays(spark, sf):
 def quoted_latin1_bodies(spark, sf):
     """Quoted-printable with a soft line break, in an eight-bit charset."""
     head = f"From: a@example.com{render.END}Content-Type: text/plain; charset=ISO-8859-1{render.END}Content-Transfer-Encoding: Quoted-Printable{render.END}{render.END}"
-    c = read(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("path"), F.encode(F.concat(F.lit(f"{head}Gr=FC=DFe an =\r\n"), "c_name", F.lit(" =3D =FF")), "utf-8").alias("content"))
+    c = spread(read(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey")
+    c = c.select(F.col("c_custkey").cast("string").alias("path"), F.encode(F.concat(F.lit(f"{head}Gr=FC=DFe an =\r\n"), "c_name", F.lit(" =3D =FF")), "utf-8").alias("content"))
     part = F.col("parts")[0]
-    return mail.parse_mails(c).select("path", part["charset"].alias("charset"), part["encoding"].alias("encoding"), part["text"].alias("body"))
+    return mail.parse_mails(c, fields=("path", "parts")).select("path", part["charset"].alias("charset"), part["encoding"].alias("encoding"), part["text"].alias("body"))
 
 
 @query("""
