@@ -532,12 +532,12 @@ FROM part
 """)
 def header_repairs(spark, sf):
     """Quoted-printable Latin-1 bodies, copies, a sender without a parsable address, bracketed message ids, dots in header names."""
-    p, k = read(spark, sf, "part"), F.col("p_partkey").cast("string")
+    p, k = spread(read(spark, sf, "part").select("p_partkey"), "p_partkey"), F.col("p_partkey").cast("string")
     raw = F.concat(
         F.lit("From: write to, Sales@w.example\r\nCc: C"), k, F.lit("@x.example,\r\n d@y.example\r\nDelivered-To: Box@z.example\r\nMessage-ID: "), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("[id"), k, F.lit("@v.example]"))).otherwise("[none]"),
         F.lit("\r\nX.Y: one\r\nx.y: two "), k, F.lit("\r\nContent-Type: text/plain; charset=ISO-8859-1\r\nContent-Transfer-Encoding: quoted-printable\r\n\r\ngr=FC=DFe =\r\n"), k, F.lit(" =3D ok"),
     )
-    m = mail.parse_mails(p.select(F.encode(raw, "utf-8").alias("content"), k.alias("path")))
+    m = mail.parse_mails(p.select(F.encode(raw, "utf-8").alias("content"), k.alias("path")), fields=("path", "msg_id", "cc", "delivered_to", "from", "headers", "parts"))
     b = bodies.bodies(m, "path", "cc", "delivered_to", "from", "headers")
     named = text.headers_map(F.col("headers"), colons=True)
     return b.select(
