@@ -444,11 +444,11 @@ FROM orders
 """)
 def date_and_copy_headers(spark, sf):
     """Date, Cc with a display name that holds a comma, Delivered-To; every fourth mail has no date, every third no Delivered-To."""
-    o, end = read(spark, sf, "orders"), F.lit(render.END)
+    o, end = spread(read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate"), "o_orderkey"), F.lit(render.END)
     date = F.when(F.col("o_orderkey") % 4 > 0, F.concat(F.lit("Date: "), render.rfc_date(F.col("o_orderdate")), end)).otherwise("")
     delivered = F.when(F.col("o_orderkey") % 3 > 0, F.concat(F.lit("Delivered-To: BOX"), "o_orderkey", F.lit("@example.com"), end)).otherwise("")
     content = F.concat(F.lit("From: a@example.com"), end, date, delivered, F.lit('Cc: "Last, First" <C'), "o_custkey", F.lit("@Example.org>,\r\n d@example.net"), end, end, F.lit("text"))
-    m = mail.parse_mails(o.select(F.col("o_orderkey").cast("string").alias("path"), F.encode(content, "utf-8").alias("content")))
+    m = mail.parse_mails(o.select(F.col("o_orderkey").cast("string").alias("path"), F.encode(content, "utf-8").alias("content")), fields=("path", "date_iso", "cc", "delivered_to"))
     return m.select("path", "date_iso", F.array_join("cc", ",").alias("copies"), F.array_join("delivered_to", ",").alias("delivered"))
 
 
