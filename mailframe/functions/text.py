@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import zlib
 from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
+from .hosts import _let
 
 
 def without_parentheses(text: Column) -> Column:
@@ -55,31 +57,44 @@ def content_headers(headers: Column, bodies: Column) -> Column:
     return F.when(bodies == 1, F.map_filter(headers, lambda k, _: F.startswith(k, F.lit("content")))).otherwise(headers)
 
 
+#: Lists that the names of character references are dealt out to, as a look into a map takes time in proportion to its size.
+_BUCKETS = 1024
+
+
 def _entities() -> str:
-    """JSON of the standard's names (with their semicolons; some old ones also without), and of the numbers that stand for Windows-1252."""
-    numbers = {f"#{n}": bytes([n]).decode("cp1252") for n in range(128, 160) if n not in (129, 141, 143, 144, 157)}
-    return json.dumps(html5 | numbers)
+    """JSON of the standard's names (with their semicolons; some old ones also without), dealt out by their CRC-32."""
+    buckets: list[dict[str, str]] = [{} for _ in range(_BUCKETS)]
+    for name, value in html5.items():
+        buckets[zlib.crc32(name.encode()) % _BUCKETS][name] = value
+    return json.dumps(buckets)
+
+
+def _numbers() -> str:
+    """JSON of the numbers that stand for Windows-1252."""
+    return json.dumps({str(n): bytes([n]).decode("cp1252") for n in range(128, 160) if n not in (129, 141, 143, 144, 157)})
 
 
 def unescape_entities(text: Column) -> Column:
     """Character references, each decoded once. Old names count without a semicolon, too, and as the start of a longer word."""
-    table = F.from_json(F.lit(_entities()), "map<string,string>")
+    names, numbers = F.from_json(F.lit(_entities()), "array<map<string,string>>"), F.from_json(F.lit(_numbers()), "map<string,string>")
+    old = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=len, reverse=True))
 
     def char(number: Column) -> Column:
         good = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
         wide = F.decode(F.unhex(F.lpad(F.hex(F.when(good, number).otherwise(F.lit(0xFFFD))), 8, "0")), "UTF-32")
-        return F.coalesce(F.try_element_at(table, F.concat(F.lit("#"), number.cast("string"))), wide)
+        return F.coalesce(F.when(number.between(128, 159), F.try_element_at(numbers, number.cast("string"))), wide)
+
+    def number(head: Column) -> Column:
+        digits = F.translate(head, "#xX;", "")
+        return F.when(F.rlike(head, F.lit("^#[xX]")), F.conv(digits, 16, 10)).otherwise(digits).cast("long")
 
     def decoded(part: Column) -> Column:
-        digits, hexed = F.regexp_extract(part, r"^#([0-9]{1,9}+);?", 1), F.regexp_extract(part, r"^#[xX]([0-9a-fA-F]{1,8}+);?", 1)
-        name = F.regexp_extract(part, r"^[A-Za-z][A-Za-z0-9]*+;?", 0)
-        starts = [F.left(name, F.lit(n)) for n in range(6, 1, -1)]
-        out = F.when(digits != "", F.concat(char(digits.cast("long")), F.regexp_replace(part, r"^#[0-9]{1,9}+;?", "")))
-        out = out.when(hexed != "", F.concat(char(F.conv(hexed, 16, 10).cast("long")), F.regexp_replace(part, r"^#[xX][0-9a-fA-F]{1,8}+;?", "")))
-        for n in [name, *starts]:
-            got = F.try_element_at(table, n)
-            out = out.when((n != "") & got.isNotNull(), F.concat(got, F.substring(part, F.length(n) + 1, F.length(part))))
-        return out.otherwise(F.concat(F.lit("&"), part))
+        plain, after = F.concat(F.lit("&"), part), lambda head: F.substring(part, F.length(head) + 1, F.length(part))
+        value = lambda name: F.try_element_at(F.get(names, (F.crc32(name) % _BUCKETS).cast("int")), name)
+        numbered = _let(F.regexp_extract(part, r"^#(?:[0-9]{1,9}+|[xX][0-9a-fA-F]{1,8}+);?", 0), lambda h: F.when(h == "", plain).otherwise(F.concat(_let(number(h), char), after(h))))
+        start = _let(F.regexp_extract(part, f"^(?:{old})", 0), lambda n: F.when(n == "", plain).otherwise(F.concat(value(n), after(n))))
+        named = _let(F.regexp_extract(part, r"^[A-Za-z][A-Za-z0-9]*+;?", 0), lambda n: F.coalesce(F.concat(value(n), after(n)), start))
+        return F.when(F.startswith(part, F.lit("#")), numbered).otherwise(named)
 
     parts = F.split(text, "&")
     rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), decoded)

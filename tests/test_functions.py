@@ -145,3 +145,11 @@ def test_hashing(spark):
     with pytest.raises(ValueError):
         hashing.digest(F.col("s"), "crc")
     assert one(spark, lambda c: hashing.media_signature(F.encode(c, "utf-8"))["mime_type_short"], "%PDF-1.7") == "application/pdf"
+
+
+def test_names_of_entities_are_in_short_lists():
+    import json
+    from html.entities import html5
+
+    buckets = json.loads(text._entities())
+    assert {k: v for b in buckets for k, v in b.items()} == html5 and max(map(len, buckets)) <= 16
