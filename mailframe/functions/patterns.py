@@ -68,4 +68,17 @@ def attribute(name: str) -> str:
 
 
 INNERMOST = r"\([^()]*\)"
+#: Levels of parentheses in one match.
+DEEPEST = 64
+
+
+def parentheses() -> str:
+    """A parenthesised part with no more levels in it; each position is read by as many attempts as there are levels, at most."""
+    out = r"\([^()]*+\)"
+    for _ in range(DEEPEST - 1):
+        out = rf"\((?:[^()]++|{out})*+\)"
+    return out
+
+
+PARENTHESES = parentheses()
 EDGES = r"^[;\s]+|[;\s]+$"

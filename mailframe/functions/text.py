@@ -14,11 +14,11 @@ from .hosts import _let
 
 
 def without_parentheses(text: Column) -> Column:
-    """Remove parenthesised parts, innermost first, to any depth."""
+    """Remove parenthesised parts to any depth: in one pass up to P.DEEPEST levels, else innermost first, a level a pass."""
     count = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))
     depth = F.least(count("("), count(")"))  # nested no deeper
-    gone = F.aggregate(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), text, lambda acc, _: F.when(F.contains(acc, F.lit("(")), F.regexp_replace(acc, P.INNERMOST, "")).otherwise(acc))
-    return F.when(depth > 0, gone).otherwise(text)
+    level = lambda acc, _: F.when(F.contains(acc, F.lit("(")), F.regexp_replace(acc, P.INNERMOST, "")).otherwise(acc)
+    return F.when(depth > P.DEEPEST, F.aggregate(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), text, level)).when(depth > 0, F.regexp_replace(text, P.PARENTHESES, "")).otherwise(text)
 
 
 def trim_edges(text: Column) -> Column:

@@ -266,7 +266,7 @@ def media_signatures(spark, sf):
 
 @query("SELECT c_custkey, c_name || '  ' || c_mktsegment AS bare FROM customer")
 def strip_parentheses(spark, sf):
-    c = read(spark, sf, "customer")
+    c = spread(read(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey")
     line = F.concat(F.lit("(a)"), "c_name", F.lit("(b (c (d)) e) (f)"), F.lit(" "), "c_mktsegment", F.lit("(" * 40 + "x" + ")" * 40))
     return c.select("c_custkey", text.without_parentheses(line).alias("bare"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mailframe.config import Options
 from mailframe.functions import dates, decoding, extract, hashing, hosts, text
+from mailframe.functions import patterns as P
 
 
 def one(spark, column, value=""):
@@ -147,6 +148,20 @@ def test_hashing(spark):
     assert one(spark, lambda c: hashing.media_signature(F.encode(c, "utf-8"))["mime_type_short"], "%PDF-1.7") == "application/pdf"
 
 
+def test_parentheses_up_to_a_depth_take_one_match(spark):
+    import re
+
+    deep = lambda n: "(" * n + "x" + ")" * n
+    assert many(spark, lambda c: F.regexp_replace(c, P.PARENTHESES, ""), [deep(P.DEEPEST), f"a(b{deep(P.DEEPEST - 1)}c", "((a)", ")(", "(a)(b"]) == ["", "a(bc", "(", ")(", "(b"]
+    cases = [deep(P.DEEPEST), deep(P.DEEPEST + 1), "(y" + deep(P.DEEPEST), "(" * 3000 + deep(40), "(a\n(b)) c)("]
+    want = []
+    for text_ in cases:
+        while (shorter := re.sub(P.INNERMOST, "", text_)) != text_:
+            text_ = shorter
+        want.append(text_)
+    assert many(spark, text.without_parentheses, cases) == want
+
+
 def test_names_of_entities_are_in_short_lists():
     import json
     from html.entities import html5
