@@ -14,28 +14,41 @@ def found(s: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(F.coalesce(s, F.lit("")), F.lit(pattern), F.lit(group))
 
 
+def found_where(sign, s: Column, pattern: str) -> Column:
+    """As found; only texts with a sign that any match has are searched, as a sign is cheap and most texts have none."""
+    return F.when(sign(F.coalesce(s, F.lit(""))), found(s, pattern)).otherwise(F.array().cast("array<string>"))
+
+
+def raw_hosts(s: Column) -> Column:
+    return found_where(lambda t: F.rlike(t, F.lit(P.HOST_SIGN)), s, P.HOST)
+
+
+def raw_ipv4s(s: Column) -> Column:
+    return found_where(lambda t: F.rlike(t, F.lit(P.IPV4_SIGN)), s, P.IPV4)
+
+
 def emails(s: Column, options: Options = Options()) -> Column:
     """Lower-cased addresses whose host is valid."""
     pattern = P.EMAIL_WITH_TLD if options.email_needs_tld else P.EMAIL
-    some = F.transform(found(s, pattern), F.lower)
+    some = F.transform(found_where(lambda t: F.contains(t, F.lit("@")), s, pattern), F.lower)
     return F.array_distinct(F.filter(some, lambda a: hosts.valid_host(a, options.ip_routable, options.domain_needs_tld, options.suffixes).isNotNull()))
 
 
 def domains(s: Column, options: Options = Options()) -> Column:
     """Lower-cased host names that stand between delimiters."""
-    some = F.transform(found(s, P.HOST), F.lower)
+    some = F.transform(raw_hosts(s), F.lower)
     return F.array_distinct(F.filter(some, lambda a: hosts.valid_host(a, options.ip_routable, options.domain_needs_tld, options.suffixes).isNotNull()))
 
 
 def ipv4s(s: Column, options: Options = Options()) -> Column:
-    out = hosts.valid_ipv4s(found(s, P.IPV4), options.ip_routable)
+    out = hosts.valid_ipv4s(raw_ipv4s(s), options.ip_routable)
     out = F.filter(out, lambda a: hosts.valid_host(a, options.ip_routable, options.domain_needs_tld, options.suffixes).isNotNull())
     return F.array_distinct(F.array_except(out, F.array(*[F.lit(w) for w in options.ip_whitelist])) if options.ip_whitelist else out)
 
 
 def raw_ipv6s(s: Column) -> Column:
     """Matches of the address pattern, which is tried only on texts with a sign of one."""
-    return F.when(F.rlike(F.coalesce(s, F.lit("")), F.lit(P.IPV6_SIGN)), found(s, P.IPV6)).otherwise(F.array().cast("array<string>"))
+    return found_where(lambda t: F.rlike(t, F.lit(P.IPV6_SIGN)), s, P.IPV6)
 
 
 def ipv6s(s: Column, options: Options = Options()) -> Column:
@@ -50,7 +63,7 @@ def ips(s: Column, options: Options = Options()) -> Column:
 
 def domains_and_ips(s: Column) -> Column:
     """Hosts and IPs of a fragment, unvalidated, sorted."""
-    return F.array_sort(F.array_distinct(F.concat(found(s, P.HOST), found(s, P.IPV4), raw_ipv6s(s))))
+    return F.array_sort(F.array_distinct(F.concat(raw_hosts(s), raw_ipv4s(s), raw_ipv6s(s))))
 
 
 def encoded_words(s: Column) -> Column:
@@ -88,12 +101,13 @@ def clean_url(url: Column, options: Options = Options()) -> Column:
 def links(html: Column) -> Column:
     """Values of href in links and of src in images, without quotes."""
     value = lambda t: F.when(F.startswith(F.lower(t), F.lit("a")), F.regexp_extract(t, P.attribute("href"), 1)).otherwise(F.regexp_extract(t, P.attribute("src"), 1))
-    return F.filter(F.transform(found(html, P.LINK_TAG), lambda t: F.regexp_replace(value(t), "^[\"']", "")), lambda v: F.length(v) > 0)
+    return F.filter(F.transform(found_where(lambda t: F.contains(t, F.lit("<")), html, P.LINK_TAG), lambda t: F.regexp_replace(value(t), "^[\"']", "")), lambda v: F.length(v) > 0)
 
 
 def raw_urls(s: Column, options: Options = Options()) -> Column:
     """Runs of URL characters in text (glued ones split, ends trimmed) and, if asked for, links."""
-    out = F.flatten(F.transform(found(s, P.URL_OR_WWW if options.www else P.URL), lambda u: F.split(u, P.GLUED_WWW if options.www else P.GLUED)))
+    signs = lambda t: F.contains(F.lower(t), F.lit("http")) | F.contains(F.lower(t), F.lit("ftp")) | F.contains(F.lower(t), F.lit("www"))
+    out = F.flatten(F.transform(found_where(signs, s, P.URL_OR_WWW if options.www else P.URL), lambda u: F.split(u, P.GLUED_WWW if options.www else P.GLUED)))
     out = F.transform(out, lambda u: F.regexp_replace(u, P.URL_END, "$1"))
     return F.concat(out, links(s)) if options.href else out
 

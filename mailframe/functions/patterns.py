@@ -21,6 +21,8 @@ _NAME = rf"[{LABEL}]{{1,{LONGEST}}}+(?:\.[{LABEL}]{{2,{LONGEST}}}+)++"
 BEFORE_HOST, AFTER_HOST = r"\s(/<>|@'=", r"\s)/<>?#&'"
 HOST = rf"(?<![^{BEFORE_HOST}])({_NAME})(?![^{AFTER_HOST}])"
 RECEIVED_HOST = rf"(?:from|by)\s+({_NAME})"
+#: Any text with a host has this, and any with an IPv4 address.
+HOST_SIGN, IPV4_SIGN = rf"\.[{LABEL}]{{2}}", r"\.[0-9]{1,3}\.[0-9]"
 IPV4 = r"([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})"
 
 
@@ -37,8 +39,8 @@ def ipv6() -> str:
 
 
 IPV6 = ipv6()
-#: Any text with an IPv6 address has this.
-IPV6_SIGN = "::|(?:[0-9A-Fa-f]{1,4}:){6}"
+#: Any text with an IPv6 address has this; as the other signs it begins with one fixed character, which is quick to find.
+IPV6_SIGN = ":(?::|(?:[0-9A-Fa-f]{1,4}:){5})"
 
 _QUOTES = "«»“”‘’"
 #: Reserved and unreserved characters and the per cent sign of RFC 3986, and what RFC 3987 and careless senders add: all beyond

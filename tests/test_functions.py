@@ -168,3 +168,21 @@ def test_names_of_entities_are_in_short_lists():
 
     buckets = json.loads(text._entities())
     assert {k: v for b in buckets for k, v in b.items()} == html5 and max(map(len, buckets)) <= 16
+
+
+@pytest.mark.parametrize(("sign", "pattern", "with_it", "without"), [
+    ("HOST_SIGN", "HOST", ["a.bc", "x (m.x-y.de)", "1.22.3a"], ["Ends here. And e.g. here, v1.2 or .", "a.b"]),
+    ("IPV4_SIGN", "IPV4", ["1.2.3.4", "x999.999.999.999y"], ["1.5 and 2.", "1.2"]),
+    ("IPV6_SIGN", "IPV6", ["::1", "a::", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:1.2.3.4", "::ffff:1.2.3.4", "1::2"], ["12:30:45", "note: a:b:c:d:e"]),
+])
+def test_signs_are_in_all_that_is_found(spark, sign, pattern, with_it, without):
+    check = lambda c: F.struct(F.rlike(c, F.lit(getattr(P, sign))).alias("sign"), (F.size(extract.found(c, getattr(P, pattern))) > 0).alias("found"))
+    assert [tuple(r) for r in many(spark, check, with_it)] == [(True, True)] * len(with_it)
+    assert [r.sign for r in many(spark, check, without)] == [False] * len(without)
+
+
+def test_texts_without_a_sign_are_not_searched(spark):
+    for column in (extract.emails, extract.domains, extract.links, extract.urls, extract.raw_ipv4s):
+        plan = spark.range(1).select(column(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+        assert "CASE WHEN" in plan
+    assert many(spark, extract.urls, ["HTTP://a.example.com/x", "httpſ://b.example.com/", "WWW.c.example.com/d", "FtP://e.example.com/f"]) == [["http://a.example.com/x"], ["httpſ://b.example.com/"], ["WWW.c.example.com/d"], ["ftp://e.example.com/f"]]
