@@ -24,9 +24,9 @@ def hashed_indicators(df: DataFrame) -> DataFrame:
     return out.drop(*KINDS)
 
 
-def indicator_rows(df: DataFrame, *keys: str) -> DataFrame:
-    """keys, kind, value: one row for each indicator."""
-    return df.select(*keys, F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in KINDS]), F.array(*KINDS))).alias("kind", "some")).select(*keys, "kind", F.explode("some").alias("value"))
+def indicator_rows(df: DataFrame, *keys: str, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """keys, kind, value: one row for each indicator of these kinds; others aren't searched."""
+    return df.select(*keys, F.explode(F.map_from_arrays(F.array(*[F.lit(k) for k in kinds]), F.array(*kinds))).alias("kind", "some")).select(*keys, "kind", F.explode("some").alias("value"))
 
 
 def without_listed(rows: DataFrame, listed: DataFrame) -> DataFrame:

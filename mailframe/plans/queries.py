@@ -196,7 +196,7 @@ UNION ALL SELECT doc_id, 'ip', count(DISTINCT v) FROM (SELECT doc_id, unnest(reg
 """)
 def indicator_counts(spark, sf):
     found = indicators.body_indicators(read(spark, sf, "documents").select("doc_id", "text"))
-    rows = indicators.indicator_rows(found, "doc_id").filter(F.col("kind").isin("email", "ip"))
+    rows = indicators.indicator_rows(found, "doc_id", kinds=("email", "ip"))
     return rows.groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
 
 
