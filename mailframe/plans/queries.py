@@ -34,12 +34,12 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rows dealt out to three tasks for each core, and 24 at least.
 
     A table of short rows is one split or few, whatever number of rows it has; what is made of a row costs far more than to move it.
     """
-    return df.repartition(max(24, 3 * df.sparkSession.sparkContext.defaultParallelism), key)
+    return df.repartition(max(24, 3 * df.sparkSession.sparkContext.defaultParallelism), *keys)
 
 
 _EMAIL_SQL = r"([a-zA-Z0-9.!#$%&''*+,\-/=?^_`{|}~]+@[a-zA-Z0-9-]+(?:\.[a-zA-Z0-9-]+)*)"
@@ -519,10 +519,10 @@ def reports_as_json(spark, sf):
 @query("SELECT 'example.com' AS sender_host, 2 * count(*) AS messages, 10 * count(*) AS indicators FROM conversations")
 def sender_hosts(spark, sf):
     """Every mail is there twice, and has one address, two hosts, one URL and one IP."""
-    c, number = read(spark, sf, "conversations"), F.concat_ws("/", "conv_id", "turn")
+    c, number = spread(read(spark, sf, "conversations").select("conv_id", "turn"), "conv_id", "turn"), F.concat_ws("/", "conv_id", "turn")
     body = F.lit("write to a@b.example or see http://www.cc.example/p from 10.0.0.1")
     m = c.select(render.simple(body, F.lit("X <x@Example.com>"), F.lit("y@example.org"), number).alias("content"))
-    return report.summary(mail.parse_mails(m.unionAll(m)))
+    return report.summary(mail.parse_mails(m.unionAll(m), fields=("from", "parts")))
 
 
 @query("""

@@ -38,7 +38,7 @@ def test_entry(spark):
     assert set(Q.QUERIES) <= set(__spark_entry__.queries()) and set(Q.ORACLE) <= set(__spark_entry__.oracle_sql())
 
 
-@pytest.mark.parametrize("name", ["date_and_copy_headers", "header_repairs", "header_warnings", "quoted_latin1_bodies", "strip_parentheses", "unescape_entities"])
+@pytest.mark.parametrize("name", ["date_and_copy_headers", "header_repairs", "header_warnings", "quoted_latin1_bodies", "sender_hosts", "strip_parentheses", "unescape_entities"])
 def test_short_rows_are_dealt_out(spark, name):
     """A table that is one split is no single task."""
     assert Q.QUERIES[name](spark, str(SMALL)).rdd.getNumPartitions() >= 24
